@@ -1,18 +1,10 @@
-"""Queries by name, each with the SQL that gives the same rows."""
+"""All queries of the library outside its language-model subpackage, by name, with the SQL that each must equal."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corpusloom.plans import corpus_queries, dataset_queries, extra_queries
 
-FLAGSHIP = "extra_pricing_summary"
+FLAGSHIP = "word_freq_topk"
 
-
-def extra_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities and prices of shipped lines by flag and status."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate") <= "1998-09-02")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-
-QUERIES = {"extra_pricing_summary": extra_pricing_summary}
-SQL = {"extra_pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2"}
+QUERIES = {**corpus_queries.QUERIES, **dataset_queries.QUERIES, **extra_queries.QUERIES}
+SQL = {**corpus_queries.SQL, **dataset_queries.SQL, **extra_queries.SQL}
