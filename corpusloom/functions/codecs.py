@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.functions import text as T
 
@@ -51,21 +51,21 @@ def hangul_syllable(lead: Column, vowel: Column, tail: Column) -> Column:
     return code_point_char(F.lit(HANGUL) + lead * LEAD + vowel * VOWEL + tail)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical composition."""
     for t in texts:
         yield t.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition."""
     for t in texts:
         yield t.str.normalize("NFKC")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def grapheme_clusters(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Extended grapheme clusters; the JVM's own rule differs for Indic scripts."""
     import regex
