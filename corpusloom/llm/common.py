@@ -38,14 +38,32 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def own(docs: DataFrame) -> list:
+    """The columns of a table, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The table with free names for columns that clash with `names` (in any case of letters), and the way back."""
+    taken, moved = {c.lower() for c in docs.columns} | {n.lower() for n in names}, {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"{c}_"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            moved[c] = new
+    return docs.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 def texts(array: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 
-def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of rows of at most `limit` bytes of text (one row may hold more), with their texts."""
-    all_texts, start, size = texts(batch.column(batch.schema.get_field_index(name))), 0, 0
+def chunks(batch: pa.RecordBatch, at: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows of at most `limit` bytes of text in column `at` (one row may hold more), with their texts."""
+    all_texts, start, size = texts(batch.column(at)), 0, 0
     for i, t in enumerate(all_texts):
         if size and size + len(t) > limit:
             yield batch.slice(start, i - start), all_texts[start:i]

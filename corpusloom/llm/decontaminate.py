@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from corpusloom.llm.common import WORDS, chunks, column, read, sha256, written
+from corpusloom.llm.common import WORDS, chunks, column, own, read, set_aside, sha256, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -137,8 +137,8 @@ def matches(docs: list[bytes], tests: Tests) -> tuple[np.ndarray, np.ndarray, np
     at = at[ends[np.searchsorted(ends, at)] - at >= tests.shortest]
     heads = tests.starts
     lead = min(3, tests.shortest)
-    for code in (lambda s, p: sum(s[p + i].astype(np.int64) << BITS * i for i in range(lead)),):
-        at = at[np.isin(code(stream, at), np.unique(code(tests.stream, heads)))]
+    head = lambda s, p: sum(s[p + i].astype(np.int64) << BITS * i for i in range(lead))
+    at = at[np.isin(head(stream, at), np.unique(head(tests.stream, heads)))]
     sa = suffix_array(stream, at.astype(np.int64), tests.longest)
     if not len(sa):
         return n_words, none, none, none, none
@@ -189,7 +189,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
                 if at is None:
                     parts = [(whole, [b""] * whole.num_rows)]
                 else:
-                    parts = chunks(whole, whole.schema.names[at], SHARD) if len(set(whole.schema.names)) == len(whole.schema.names) else [(whole, [x or b"" for x in whole.column(at).cast(pa.binary()).to_pylist()])]
+                    parts = chunks(whole, at, SHARD)
                 for batch, rows in parts:
                     n, doc, start, size, item = matches(rows, tests)
                     spans: list[list[int]] = [[] for _ in rows]
@@ -197,11 +197,11 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
                     for d, s, z, i in zip(doc.tolist(), start.tolist(), size.tolist(), item.tolist(), strict=True):
                         spans[d] += (s, z)
                         ids[d].append(tests.item_ids[i])
-                    own = batch.columns
+                    cells = batch.columns
                     if later:
-                        *own, _, s0, i0 = own
+                        *cells, _, s0, i0 = cells
                         spans, ids = [a + b for a, b in zip(s0.to_pylist(), spans, strict=True)], [a + b for a, b in zip(i0.to_pylist(), ids, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=[*[f.name for f in plain], *FOUND.names])
+                    yield pa.RecordBatch.from_arrays([*cells, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=[*[f.name for f in plain], *FOUND.names])
 
         out = out.mapInArrow(run, StructType([*plain, *FOUND.fields]))
         if k % CHAIN == CHAIN - 1:
@@ -220,7 +220,8 @@ def covered(spans: list[int]) -> int:
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows without any benchmark window, with their own columns."""
-    return search(docs, read(spark, sf_dir, "benchmark")).filter(F.size("_spans") == 0).select(*docs.columns)
+    plain, back = set_aside(docs, FOUND.names)
+    return search(plain, read(spark, sf_dir, "benchmark")).filter(F.size("_spans") == 0).drop(*FOUND.names).withColumnsRenamed(back).select(*own(docs))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

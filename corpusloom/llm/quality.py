@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UPPER, column, read, sigmoid, texts
+from corpusloom.llm.common import UPPER, column, own, read, set_aside, sigmoid, texts
 from corpusloom.llm.hashed import SPACE, Adam, memoised
 
 #: Documents that train the scorer, at most.
@@ -187,8 +187,8 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of good quality, with their own columns."""
     _, weights, intercept = fit(docs)
-    plain = docs.withColumnRenamed("quality", "_own_quality") if "quality" in docs.columns else docs
-    return scored(plain, weights, intercept).filter("quality >= 0.5").drop("quality").withColumnRenamed("_own_quality", "quality").select(*docs.columns)
+    plain, back = set_aside(docs, ["quality"])
+    return scored(plain, weights, intercept).filter("quality >= 0.5").drop("quality").withColumnsRenamed(back).select(*own(docs))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,12 +228,12 @@ class Codec:
 
 
 def _mapped(docs: DataFrame, pieces: Pieces, schema: StructType, make: Callable) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared, at = docs.sparkSession.sparkContext.broadcast(pieces), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            for part, texts in chunks(batch, at):
                 yield make(codec, part, [t.decode("utf-8", "replace") for t in texts])
 
     return docs.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORDS, column, read, sigmoid, texts
+from corpusloom.llm.common import WORDS, column, own, read, set_aside, sigmoid, texts
 from corpusloom.llm.hashed import HALF, SPACE, Adam, memoised, word_features
 
 #: Labelled rows used for fitting, at most.
@@ -139,8 +139,8 @@ def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that are not toxic, with their own columns."""
     model = fit(docs, read(spark, sf_dir, "labels"))
-    plain = docs.select(*docs.columns, F.lit(True).alias("_kept"))
-    return scored(plain.withColumnsRenamed({c: f"_own_{c}" for c in ("severity", "toxic") if c in docs.columns}), model).filter(~F.col("toxic")).drop("severity", "toxic", "_kept").withColumnsRenamed({f"_own_{c}": c for c in ("severity", "toxic") if c in docs.columns}).select(*docs.columns)
+    plain, back = set_aside(docs, ["severity", "toxic"])
+    return scored(plain, model).filter(~F.col("toxic")).drop("severity", "toxic").withColumnsRenamed(back).select(*own(docs))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
