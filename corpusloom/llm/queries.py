@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from corpusloom.llm import oracles
 from corpusloom.llm.chat_format import op7_chat_format
 from corpusloom.llm.decontaminate import op2_decontaminate
 from corpusloom.llm.fingerprint import op5_fingerprint
@@ -17,4 +18,4 @@ from corpusloom.llm.toxicity import op1_toxicity
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_license_scan, op5_fingerprint, op6_sentencepiece, op7_chat_format, op8_token_counts, op9_jaccard_join, op10_html_text)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+SQL: dict[str, str] = {**oracles.SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
