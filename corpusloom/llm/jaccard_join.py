@@ -4,19 +4,20 @@ Texts (A-Z in lower case) become sets of hashed shingles of `width` words; two s
 100 * |A and B| >= percent * |A or B|, that is, when their symmetric difference is at most
 (|A| + |B|) * (100 - percent) // (100 + percent).
 
-1. Equal sets are one class. Each class has a 63-bit key and a 512-bit parity sketch, whose Hamming distance never
-   exceeds the symmetric difference.
+1. Equal sets are one class. Each class has a 63-bit key and a parity sketch of about a bit an element, whose
+   Hamming distance never exceeds the symmetric difference.
 2. Sizes fall into bands whose ends differ by the threshold, so linked sets are in the same or in neighbouring
    bands. A set takes part in the instance of its own band (natively) and in the next one.
 3. An instance that allows H differences hashes the universe into `a` exact and `d` one-deletion segments with
-   a + 2 d = H + 1. Of two linked sets at least one exact segment is equal, or one deletion segment differs
-   by at most one. Signatures are the segment's sum, and for deletion segments also the sums without each
+   a + 2 d = H + 1, and some spare ones for the empty. Of two linked sets at least one exact segment is equal,
+   or one deletion segment differs by at most one. Signatures are the segment's sum, and for deletion segments also the sums without each
    element. How many of each kind is chosen by estimated cost from the number of documents in each band.
 4. Signatures are dealt by hash and sorted; a bucket is a run of one signature with two classes or more, one of
-   them native. Inside a bucket, sketches rule pairs out, and of the pairs left a least spanning forest by
-   sketch distance is compared exactly. Where all its edges are links, the bucket is joined up. Buckets with an
-   edge that is no link are met again, and every pair left there between different components is compared.
-   So no link between different texts is lost, and dense groups cost about a comparison a member.
+   them native. Inside a bucket, sketches rule pairs out, and the pairs left are reduced to a least
+   spanning forest by sketch distance. Its edges are compared exactly, the nearest first, as far as their ends aren't
+   yet in one component. Where all edges of a bucket lie inside components, it is joined up. The other buckets
+   are met again, and every pair left there between different components is compared.
+   So no link between different texts is lost, and dense groups cost a few comparisons a member.
 5. Components: labels take the least neighbour's and then jump to their label's label, until they rest.
 
 A text of fewer words than `width` has its whole word sequence as one shingle; one without words or null has an empty
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, M1, chunks, column, forget, mix, read, written
+from corpusloom.llm.common import LOWER, M1, chunks, column, mix, own, read, written
 
 WIDTH, PERCENT = 3, 90
 #: What holds for near-duplicate stages of a pipeline.
@@ -42,9 +43,13 @@ STAGE_WIDTH, STAGE_PERCENT = 5, 80
 NO_ID = -(1 << 63) + 1
 #: Bytes of text hashed in one numpy step.
 PIECE = 1 << 20
-BITS = 512
+BITS, MOST_BITS = 512, 1 << 16
 #: Ids (16 bytes each) that are broadcast at most; beyond, joins shuffle.
 BROADCAST_IDS = 1_000_000
+#: What a pair that meets costs, in signatures.
+PAIR_COST = 5.0
+#: Rounds of comparisons; the last compares whatever is left.
+ROUNDS = 5
 #: Classes a worker remembers to leave out signatures of copies; others are found equal later.
 SEEN = 200_000
 SEPARATOR = np.zeros(256, bool)
@@ -105,8 +110,20 @@ def key_of(s: np.ndarray) -> int:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of BITS cells."""
-    return np.packbits((np.bincount((s >> np.uint64(9)).astype(np.int64) & BITS - 1, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of elements in each of as many cells as the set's size asks for, a power of two."""
+    bits = min(MOST_BITS, max(BITS, 1 << (len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s >> np.uint64(9)).astype(np.int64) & bits - 1, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, each folded to the shortest: a cell's parity is that of the cells it unites."""
+    least, out = min(map(len, sketches)), []
+    for x in sketches:
+        x = np.frombuffer(x, np.uint64)
+        while 8 * len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out)
 
 
 class Bands:
@@ -122,6 +139,7 @@ class Bands:
         self.starts = np.array(self.low)
         self.exact: dict[int, int] = {}
         self.deleting: dict[int, int] = {}
+        self.spare: dict[int, int] = {}
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.starts, n, side="right")) - 1
@@ -131,18 +149,27 @@ class Bands:
         return sizes * (100 - self.percent) // (100 + self.percent)
 
     def allot(self, counts: dict[int, int]) -> Bands:
-        """Exact and deletion segments of each instance, of least cost: signatures, and pairs of unlike sets that would meet."""
+        """Exact, deletion and spare segments of each instance, of least cost: signatures, and pairs of unlike sets that would meet.
+
+        Unlike sets meet where both have nothing in a segment. With `spare` more exact segments, a set with no more
+        empty ones than that may leave them out: of two linked sets, one that isn't empty is equal all the same.
+        """
         for b in {x for k in counts for x in (k, k + 1)}:
             size, most = self.high[b], self.differences(2 * self.high[b])
             docs = counts.get(b, 0) + counts.get(b - 1, 0)
             options = []
-            for d in range((most + 1) // 2 + 1):
-                a = most + 1 - 2 * d
-                t = size / (a + d)
-                equal = math.exp(-2 * t)
-                options.append((docs * (a + d * (1 + t)) + 0.5 * docs * docs * (a * equal + d * equal * (1 + 2 * t)), d, a))
-            _, d, a = min(options)
-            self.exact[b], self.deleting[b] = (a, d) if most else (0, 0)
+            for d in sorted({(most + 1) // 2 * k // 12 for k in range(13)} | set(range(min(4, (most + 1) // 2 + 1)))):
+                for spared in (False, True):
+                    a, spare, least = most + 1 - 2 * d, 0, self.low[max(0, b - 1)]
+                    for _ in range(20 if spared else 0):  # the spare ones make more segments, and so more empty ones
+                        empty = (a + d + spare) * math.exp(-least / (a + d + spare))
+                        spare = math.ceil(empty + 4 * math.sqrt(empty))
+                    a += spare
+                    t = size / (a + d)
+                    equal = math.exp(-2 * t)
+                    options.append((docs * (a + d * (1 + t)) + PAIR_COST * docs * docs * ((0 if spared else a) * equal + d * equal * (1 + 2 * t)), d, a, spare))
+            _, d, a, spare = min(options)
+            self.exact[b], self.deleting[b], self.spare[b] = (a, d, spare) if most else (0, 0, 0)
         return self
 
     def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,11 +184,15 @@ class Bands:
             total = np.zeros(a + d, np.uint64)
             np.add.at(total, cell, value)
             tag = mix((np.arange(a + d, dtype=np.uint64) << np.uint64(16)) + np.uint64(inst))
-            own.append(mix(total ^ tag))
+            filled = np.bincount(cell, minlength=a + d) > 0
+            filled[a:] = True
+            whole = filled if (~filled).sum() <= self.spare[inst] else np.ones(a + d, bool)
+            sigs = [mix(total ^ tag)[whole]]
             if d:
                 some = cell >= a
-                own.append(np.unique(mix((total[cell[some]] - value[some]) ^ tag[cell[some]])))
-            native += [np.full(len(own[-1]) + (a + d if d else 0), inst == b)]
+                sigs.append(np.unique(mix((total[cell[some]] - value[some]) ^ tag[cell[some]])))
+            own += sigs
+            native.append(np.full(sum(map(len, sigs)), inst == b))
         return (np.concatenate(own), np.concatenate(native)) if own else (np.zeros(0, np.uint64), np.zeros(0, bool))
 
 
@@ -171,7 +202,7 @@ def _sets(docs: DataFrame, width: int, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            for part, rows in chunks(batch, "text", 2 << 20):
+            for part, rows in chunks(batch, 1, 2 << 20):
                 yield make(part.column(0), shingle_sets(rows, width), state)
 
     return docs.select(F.coalesce(column(docs, "doc_id", "long"), F.lit(NO_ID)).alias("doc_id"), column(docs, "text", "string").alias("text")).mapInArrow(run, schema)
@@ -240,10 +271,6 @@ def buckets(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig long, key long")
 
 
-def _words(sketch: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(sketch), -1)
-
-
 def _near(x: np.ndarray, n: np.ndarray, native: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Sketch distance of member i from others; where it proves that they aren't linked, the largest number."""
     far = np.bitwise_count(x[others] ^ x[i]).sum(axis=1, dtype=np.int64)
@@ -252,8 +279,8 @@ def _near(x: np.ndarray, n: np.ndarray, native: np.ndarray, i: int, others: np.n
     return np.where(ok, far, np.iinfo(np.int64).max)
 
 
-def forest(x: np.ndarray, n: np.ndarray, native: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges of a least spanning forest of the pairs that sketches leave; ties go to the lower place."""
+def forest(x: np.ndarray, n: np.ndarray, native: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
+    """Edges (place, place, distance) of a least spanning forest of the pairs that sketches leave; ties go to the lower place."""
     none = np.iinfo(np.int64).max
     left, best, parent, out = np.ones(len(n), bool), np.full(len(n), none), np.zeros(len(n), np.int64), []
     at = 0
@@ -267,68 +294,101 @@ def forest(x: np.ndarray, n: np.ndarray, native: np.ndarray, percent: int) -> li
         best[rest[closer]], parent[rest[closer]] = far[closer], at
         at = int(rest[best[rest].argmin()])
         if best[at] < none:
-            out.append((int(parent[at]), at))
+            out.append((int(parent[at]), at, int(best[at])))
     return out
 
 
 def _pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(sig, a, b), a < b: of each bucket the forest's edges, or every pair left between different components (comp)."""
+    """(sig, a, b, d), a < b, d the sketch distance: of each bucket the forest's edges, or every pair left between different components (comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in runs(batches):
             sig, key, n = (c.to_numpy() for c in cols[:3])
-            x, comp = _words(cols[3]), cols[4].to_numpy() if every else None
+            sketches, comp = cols[3].to_pylist(), cols[4].to_numpy() if every else None
             native, key = (key & 1).astype(bool), key & ~1
             first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[first, len(sig)])
-            two = first[size == 2]
-            far = np.bitwise_count(x[two] ^ x[two + 1]).sum(axis=1, dtype=np.int64)
-            lo, hi = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
-            ok = (far <= (lo + hi) * (100 - percent) // (100 + percent)) & (100 * lo >= percent * hi)
-            if every:
-                ok &= comp[two] != comp[two + 1]
-            left, right = [two[ok]], [two[ok] + 1]
-            for f, k in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            none = np.zeros(0, np.int64)
+            left, right, apart = [none], [none], [none]
+            for f, k in zip(first.tolist(), size.tolist(), strict=True):
                 s = slice(f, f + k)
+                if every and (comp[s] == comp[f]).all():
+                    continue
+                x = folded(sketches[s])
                 if every:
                     for i in range(k - 1):
                         rest = np.arange(i + 1, k)
                         rest = rest[comp[s][rest] != comp[f + i]]
                         if len(rest):
-                            rest = rest[_near(x[s], n[s], native[s], i, rest, percent) < np.iinfo(np.int64).max]
+                            d = _near(x, n[s], native[s], i, rest, percent)
+                            rest, d = rest[d < np.iinfo(np.int64).max], d[d < np.iinfo(np.int64).max]
                             left.append(np.full(len(rest), f + i))
                             right.append(f + rest)
-                elif edges := forest(x[s], n[s], native[s], percent):
-                    e = np.array(edges) + f
-                    left.append(e[:, 0])
-                    right.append(e[:, 1])
+                            apart.append(d)
+                elif edges := forest(x, n[s], native[s], percent):
+                    e = np.array(edges)
+                    left.append(e[:, 0] + f)
+                    right.append(e[:, 1] + f)
+                    apart.append(e[:, 2])
             i, j = np.concatenate(left), np.concatenate(right)
-            yield pa.record_batch({"sig": pa.array(sig[i]), "a": pa.array(np.minimum(key[i], key[j])), "b": pa.array(np.maximum(key[i], key[j]))})
+            yield pa.record_batch({"sig": pa.array(sig[i]), "a": pa.array(np.minimum(key[i], key[j])), "b": pa.array(np.maximum(key[i], key[j])), "d": pa.array(np.concatenate(apart), pa.int64())})
 
-    return members.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig long, a long, b long")
+    return members.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig long, a long, b long, d long")
 
 
-def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs joined with ids on doc_id: broadcast if ids are few (counted), else shuffled."""
+def with_few(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with one column of ids: broadcast if ids are few (counted), else shuffled."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
-def compared(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked) for each pair of keys, by the exact size of the intersection of their sets."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def sets_of(docs: DataFrame, reps: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(key, set) of some classes, each from the text of its lowest doc_id; written."""
     ids = written(keys.join(reps, "key").select("doc_id").distinct(), "ids")
 
     def make(_: pa.Array, sets: list[np.ndarray], __: dict) -> pa.RecordBatch:
         return pa.record_batch({"key": pa.array([key_of(s) for s in sets], pa.int64()), "set": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
     plain = docs.select(F.coalesce(column(docs, "doc_id", "long"), F.lit(NO_ID)).alias("doc_id"), column(docs, "text", "string").alias("text"))
-    sets = written(_sets(by_id(plain, ids, "left_semi"), width, "key long, set array<long>", make).dropDuplicates(["key"]), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "set": "y"}), "b")
+    return written(_sets(with_few(plain, ids, "doc_id", "left_semi"), width, "key long, set array<long>", make).dropDuplicates(["key"]), "sets")
+
+
+def compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) for pairs (own, other), by the exact size of the intersection; written. Where each own occurs once, each set is moved once for it."""
+    both = pairs.join(sets.withColumnsRenamed({"key": "own", "set": "x"}), "own").join(sets.withColumnsRenamed({"key": "other", "set": "y"}), "other")
     common = F.size(F.array_intersect("x", "y"))
-    out = written(both.select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked")), "compared")
-    forget(sets)
-    return out
+    return written(both.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked")), "compared")
+
+
+def resolved(sets: DataFrame, pairs: DataFrame, percent: int, links: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links and labels once every pair (a, b, d) is compared or lies inside a component.
+
+    In each round every class between two components compares its nearest untested pair, which joins dense
+    groups in a few rounds of at most one comparison a class; the last round compares all that is left.
+    """
+    labels = components(links) if links is not None else None
+    for last in (k == rounds - 1 for k in range(rounds)):
+        left = pairs
+        if labels is not None:
+            for end in "ab":
+                left = left.join(labels.select(F.col("key").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+            left = left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d")
+        pairs = left = written(left, "left")
+        if not left.limit(1).count():
+            break
+        if last:
+            chosen = left.select(F.col("a").alias("own"), F.col("b").alias("other"))
+        else:
+            ends = left.select(F.col("a").alias("own"), F.struct("d", F.col("b").alias("other")).alias("p")).union(left.select(F.col("b").alias("own"), F.struct("d", F.col("a").alias("other")).alias("p")))
+            best = ends.groupBy("own").agg(F.min("p").alias("p")).select("own", F.col("p.other").alias("other"))
+            chosen = best.groupBy(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.min(F.struct("own", "other")).alias("p")).select("p.own", "p.other")
+        tested = compared(sets, chosen, percent)
+        pairs = left.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = tested.filter("linked").select("a", "b")
+        if found.limit(1).count():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+    return links, labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,7 +401,6 @@ def components(links: DataFrame) -> DataFrame:
         jump = step.join(step.select(F.col("key").alias("next"), F.col("next").alias("far")), "next").select("key", F.least("next", "far").alias("next"), "comp")
         new = written(jump, "labels")
         changed = bool(new.filter("next != comp").limit(1).count())
-        forget(labels)
         labels = new.select("key", F.col("next").alias("comp"))
         if not changed:
             return labels
@@ -357,34 +416,50 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     sketched = reps.select(F.col("key").alias("_k"), "n", "sketch")
     members = lambda rows: rows.join(sketched, rows["key"].bitwiseAND(F.lit(-2)) == F.col("_k"))
     edges = written(_pairs(members(met).select("sig", "key", "n", "sketch"), percent, False), "edges")
-    tested = compared(docs, reps, edges.select("a", "b").distinct(), width, percent)
-    links = tested.filter("linked")
-    labels = components(links)
-    open_ = edges.join(tested.filter("NOT linked"), ["a", "b"]).select("sig").distinct()
-    again = members(met.join(open_, "sig", "left_semi"))
-    again = again.join(labels.select(F.col("key").alias("_k"), "comp"), "_k", "left").select("sig", "key", "n", "sketch", F.coalesce("comp", "_k").alias("comp"))
-    more = written(_pairs(again, percent, True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        found = compared(docs, reps, more, width, percent).filter("linked")
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links)
-    lowest = reps.select("key", "doc_id").join(labels, "key").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_key = reps.select("key", "doc_id").join(labels, "key", "left").join(lowest, "comp", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    pairs = written(edges.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
+    if not pairs.limit(1).count():
+        return _rows(every, reps, None)
+    sets = sets_of(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), width)
+    links, labels = resolved(sets, pairs, percent)
+    if links is None:
+        labels = pairs.limit(0).select(F.col("a").alias("key"), F.col("b").alias("comp"))
+    comps = labels.select(F.col("key").alias("_c"), "comp")
+    apart = edges.select("sig", "a", "b").join(comps.withColumnsRenamed({"_c": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"_c": "b", "comp": "cb"}), "b", "left")
+    open_ = written(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("sig").distinct(), "open")
+    again = members(with_few(met, open_, "sig", "left_semi"))
+    again = again.join(comps, again["_k"] == comps["_c"], "left").select("sig", "key", "n", "sketch", F.coalesce("comp", "_k").alias("comp"))
+    more = written(_pairs(again, percent, True).groupBy("a", "b").agg(F.min("d").alias("d")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    links, labels = resolved(sets, more, percent, links) if more.limit(1).count() else (links, labels)
+    return _rows(every, reps, labels)
+
+
+def _rows(every: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The result, from the classes' labels."""
+    of_key = reps.select("key", F.col("doc_id").alias("component_id"))
+    if labels is not None:
+        lowest = reps.select("key", "doc_id").join(labels, "key").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        of_key = reps.select("key", "doc_id").join(labels, "key", "left").join(lowest, "comp", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
     own = F.lit(NO_ID)
     rows = every.select("doc_id", "n", "key").join(of_key, "key", "left")
     return rows.select(F.nullif("doc_id", own).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), own).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = STAGE_WIDTH, percent: int = STAGE_PERCENT) -> DataFrame:
-    """Of each component, the rows of its smallest doc_id, one of several equal; texts without words all stay."""
-    rows = written(linked_components(docs, width, percent), "components")
-    gone = rows.filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = by_id(docs.withColumn("_id", F.col("doc_id")), gone, "left_anti").drop("_id")
-    twice = written(rows.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if not twice.limit(1).count():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(by_id(kept, twice, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Of each component, the rows of its smallest doc_id, equal ones once.
+
+    Texts without words and rows without an id all stay. An id given to several texts goes only where none of
+    them is the lowest of its component. docs needs doc_id and text.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = written(linked_components(named, width, percent).filter("n_shingles > 0"), "components")
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = written(ids.filter("NOT stays").select("doc_id"), "gone")
+    kept = with_few(docs, gone, "doc_id", "left_anti").select(*own(docs))
+    twice = written(ids.filter("stays AND n > 1").select("doc_id"), "twice")
+    if twice.limit(1).count():
+        some = with_few(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = with_few(kept, twice, "doc_id", "left_anti").select(*own(docs)).union(some.select(*own(docs)))
+    return kept
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
