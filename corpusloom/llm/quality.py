@@ -29,12 +29,13 @@ from corpusloom.llm.hashed import SPACE, Adam, memoised
 SAMPLE = 5000
 SYMBOLS = b"#$%&*|<>{}[]~^=@\\_+"
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
+DIGITS = bytes(range(48, 58))
 SHAPE = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else 48 if 48 <= i <= 57 else i for i in range(256))
 VOTERS = ("capitals", "symbols", "exclamations", "bars", "repeats", "variety", "word_length", "letters")
 
 
 def statistics(text: bytes) -> tuple[list[bytes], tuple[float, ...]]:
-    """White-space tokens; shares of capitals, symbols, exclamations, bars, repeated neighbours, distinct tokens; mean length; share of letters."""
+    """White-space tokens; shares of capitals, symbols, exclamations, bars, repeated neighbours, distinct tokens; mean length; share of letters and digits."""
     tokens = text.split()
     n = max(1, len(tokens))
     letters = len(text) - len(text.translate(None, LETTERS))
@@ -42,7 +43,7 @@ def statistics(text: bytes) -> tuple[list[bytes], tuple[float, ...]]:
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     repeats = sum(map(bytes.__eq__, tokens[1:], tokens[:-1]))
     solid = max(1, sum(map(len, tokens)))
-    return tokens, (capitals / max(1, letters), symbols / n, text.count(b"!!") / n, text.count(b" | ") / n, repeats / n, len(set(tokens)) / min(n, 300), solid / n, letters / solid)
+    return tokens, (capitals / max(1, letters), symbols / n, text.count(b"!!") / n, text.count(b" | ") / n, repeats / n, len(set(tokens)) / min(n, 300), solid / n, (letters + len(text) - len(text.translate(None, DIGITS))) / solid)
 
 
 def votes(tokens: int, x: tuple[float, ...]) -> tuple[int, ...]:
