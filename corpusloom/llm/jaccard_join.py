@@ -17,7 +17,8 @@ Texts (A-Z in lower case) become sets of hashed shingles of `width` words; two s
    spanning forest by sketch distance. Its edges are compared exactly, the nearest first, as far as their ends aren't
    yet in one component. Where all edges of a bucket lie inside components, it is joined up. The other buckets
    are met again, and every pair left there between different components is compared.
-   So no link between different texts is lost, and dense groups cost a few comparisons a member.
+   So no link between different texts is lost, and dense groups cost a few comparisons a member. A bucket of more
+   than HOT classes is split into blocks with common pivots, and on the second meeting into all pairs of blocks.
 5. Components: labels take the least neighbour's and then jump to their label's label, until they rest.
 
 A text of fewer words than `width` has its whole word sequence as one shingle; one without words or null has an empty
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LOWER, M1, chunks, column, mix, own, read, written
@@ -46,6 +47,8 @@ PIECE = 1 << 20
 BITS, MOST_BITS = 512, 1 << 16
 #: Ids (16 bytes each) that are broadcast at most; beyond, joins shuffle.
 BROADCAST_IDS = 1_000_000
+#: Buckets of more classes are split into blocks of about half as many; PIVOTS of their classes stand in every block.
+HOT, PIVOTS = 1024, 8
 #: What a pair that meets costs, in signatures.
 PAIR_COST = 5.0
 #: Rounds of comparisons; the last compares whatever is left.
@@ -271,6 +274,33 @@ def buckets(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig long, key long")
 
 
+def crowded(met: DataFrame) -> DataFrame:
+    """(sig, parts) of buckets that are split; written."""
+    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HOT)
+    return written(sizes.select("sig", F.ceil(F.col("k") * 2 / HOT).cast("long").alias("parts")), "crowded")
+
+
+def cells(met: DataFrame, hot: DataFrame, grid: bool) -> DataFrame:
+    """(sig, key, side): buckets as they are dealt to tasks; those of `hot` under a number for each cell.
+
+    Without grid, a block of the bucket and its pivots are a cell. With grid, each two blocks are one, in which
+    only pairs of different sides are due, and each block is one by itself (side -1): together every pair once.
+    """
+    if not hot.limit(1).count():
+        return met.withColumn("side", F.lit(-1))
+    rows = with_few(met, hot, "sig", "left").withColumn("block", F.pmod(F.xxhash64(F.col("key").bitwiseAND(F.lit(-2))), "parts"))
+    cold = rows.filter("parts IS NULL").select("sig", "key", F.lit(-1).alias("side"))
+    warm = rows.filter("parts IS NOT NULL")
+    if grid:
+        each = warm.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        dealt = each.select(F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("sig"), "key", F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
+        pivots = warm.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("other <> block")
+        dealt = warm.select("sig", "key", "block").union(pivots.select("sig", "key", "other")).select(F.xxhash64("sig", "block").alias("sig"), "key", F.lit(-1).alias("side"))
+    return cold.union(dealt)
+
+
 def _near(x: np.ndarray, n: np.ndarray, native: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Sketch distance of member i from others; where it proves that they aren't linked, the largest number."""
     far = np.bitwise_count(x[others] ^ x[i]).sum(axis=1, dtype=np.int64)
@@ -304,7 +334,7 @@ def _pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in runs(batches):
             sig, key, n = (c.to_numpy() for c in cols[:3])
-            sketches, comp = cols[3].to_pylist(), cols[4].to_numpy() if every else None
+            sketches, side, comp = cols[3].to_pylist(), cols[4].to_numpy(), cols[5].to_numpy() if every else None
             native, key = (key & 1).astype(bool), key & ~1
             first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[first, len(sig)])
@@ -318,7 +348,7 @@ def _pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
                 if every:
                     for i in range(k - 1):
                         rest = np.arange(i + 1, k)
-                        rest = rest[comp[s][rest] != comp[f + i]]
+                        rest = rest[(comp[s][rest] != comp[f + i]) & ((side[s][rest] != side[f + i]) | (side[f + i] < 0))]
                         if len(rest):
                             d = _near(x, n[s], native[s], i, rest, percent)
                             rest, d = rest[d < np.iinfo(np.int64).max], d[d < np.iinfo(np.int64).max]
@@ -415,7 +445,8 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     met = written(buckets(signatures(docs, bands.allot(counts), width)), "buckets")
     sketched = reps.select(F.col("key").alias("_k"), "n", "sketch")
     members = lambda rows: rows.join(sketched, rows["key"].bitwiseAND(F.lit(-2)) == F.col("_k"))
-    edges = written(_pairs(members(met).select("sig", "key", "n", "sketch"), percent, False), "edges")
+    hot = crowded(met)
+    edges = written(_pairs(members(cells(met, hot, False)).select("sig", "key", "n", "sketch", "side"), percent, False), "edges")
     pairs = written(edges.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
     if not pairs.limit(1).count():
         return _rows(every, reps, None)
@@ -426,11 +457,13 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     comps = labels.select(F.col("key").alias("_c"), "comp")
     apart = edges.select("sig", "a", "b").join(comps.withColumnsRenamed({"_c": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"_c": "b", "comp": "cb"}), "b", "left")
     open_ = written(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("sig").distinct(), "open")
-    again = members(with_few(met, open_, "sig", "left_semi"))
-    again = again.join(comps, again["_k"] == comps["_c"], "left").select("sig", "key", "n", "sketch", F.coalesce("comp", "_k").alias("comp"))
+    again = members(cells(with_few(met, open_.union(hot.select("sig")), "sig", "left_semi"), hot, True))
+    again = again.join(comps, again["_k"] == comps["_c"], "left").select("sig", "key", "n", "sketch", "side", F.coalesce("comp", "_k").alias("comp"))
     more = written(_pairs(again, percent, True).groupBy("a", "b").agg(F.min("d").alias("d")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    links, labels = resolved(sets, more, percent, links) if more.limit(1).count() else (links, labels)
-    return _rows(every, reps, labels)
+    if more.limit(1).count():
+        lacking = more.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key"), "key", "left_anti")
+        links, labels = resolved(sets.union(sets_of(docs, reps, lacking, width)), more, percent, links)
+    return _rows(every, reps, labels if labels is not None else comps.toDF("key", "comp"))
 
 
 def _rows(every: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -54,6 +54,14 @@ def test_components_against_brute_force(spark, width, percent, seed):
     assert sorted(map(tuple, got), key=str) == brute(rows, width, percent)
 
 
+def test_split_buckets_change_nothing(spark, monkeypatch):
+    rows = near_copies(4, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(J, "HOT", 6)
+    monkeypatch.setattr(J, "PIVOTS", 1)
+    assert sorted(map(tuple, J.linked_components(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
+
+
 def test_query(spark, data):
     rows = [(r.doc_id, r.text) for r in read(spark, data, "documents").collect()]
     assert sorted(map(tuple, J.op9_jaccard_join(spark, data).collect()), key=str) == brute(rows, 3, 90)
