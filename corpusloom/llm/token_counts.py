@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import column, read
+from corpusloom.llm.common import column, read, written
 
 #: A byte-level BPE as ranks, read by the workers' own tokenizer library.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -82,5 +82,5 @@ def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table of context limits: a row for each encoded length of `documents`."""
-    return suffix_sums(histogram(with_length(read(spark, sf_dir, "documents"))))
+    """The whole table of context limits: a row for each encoded length of `documents`, which are encoded once."""
+    return suffix_sums(written(histogram(with_length(read(spark, sf_dir, "documents"))), "lengths"))
