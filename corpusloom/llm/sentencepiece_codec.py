@@ -32,8 +32,10 @@ from corpusloom.llm.common import chunks, mix, read, sha256
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a key that choose its place in a direct table over the sorted keys.
+LOW = np.uint64((1 << 20) - 1)
 #: Words whose pieces a worker keeps.
-KEPT = 300_000
+KEPT = 200_000
 #: Cells (words times letters) of one Viterbi batch.
 CELLS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -114,8 +116,11 @@ class Codec:
             keys[k] = mix(np.array([(c.astype(np.uint64) * power[: len(c)][::-1]).sum(dtype=np.uint64) + np.uint64(len(c))]))[0]
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], usable[order].astype(np.int32)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[keys & np.uint64((1 << 20) - 1)] = True
+        # place of the key with these low bits: -1 if there is none, -2 if there are several
+        low = (self.keys & LOW).astype(np.int64)
+        self.place = np.full(int(LOW) + 1, -1, np.int32)
+        self.place[low] = np.arange(len(low))
+        self.place[np.flatnonzero(np.bincount(low, minlength=int(LOW) + 1) > 1)] = -2
         normal = pieces.scores[pieces.kinds == NORMAL]
         self.unknown = float(normal.min() if len(normal) else 0.0) - 10.0
         self.bytes_ = np.full(256, max(0, int(np.argmax(pieces.kinds == UNKNOWN))), np.int32)
@@ -136,10 +141,12 @@ class Codec:
         width = codes.shape[1] - n + 1
         key = mix(h[:, n:] - h[:, :width] * self.power[n] + np.uint64(n))
         found = np.full(key.shape, -1, np.int32)
-        row, col = np.nonzero(self.maybe[key & np.uint64((1 << 20) - 1)])
-        at = np.searchsorted(self.keys, key[row, col])
-        at[at == len(self.keys)] = 0
-        good = self.keys[at] == key[row, col]
+        place = self.place[(key & LOW).astype(np.int64)]
+        row, col = np.nonzero(place != -1)
+        at, key = place[row, col], key[row, col]
+        several = at == -2
+        at[several] = np.minimum(np.searchsorted(self.keys, key[several]), len(self.keys) - 1)
+        good = self.keys[at] == key
         row, col, ids = row[good], col[good], self.ids[at[good]]
         same = np.ones(len(ids), bool)
         for j in range(n):
@@ -169,7 +176,6 @@ class Codec:
             sums = np.stack([best[j - n] + scores[n - 1, :, j - n] for n in sizes])
             k = sums.argmax(axis=0)
             best[j], back[j] = sums[k, rows], min(most, j) - k
-        out: list[bytes] = []
         piece = np.full((count, length), -2, np.int32)  # by start; -2: no piece starts here
         at = np.full(count, length)
         while len(live := np.flatnonzero(at > 0)):
@@ -177,13 +183,12 @@ class Codec:
             start = at[live] - n
             piece[live, start] = ids[n - 1, live, start]
             at[live] = start
-        for w in range(count):
-            p = piece[w]
-            if (p == -1).any():
-                p = np.concatenate([self.bytes_[np.frombuffer(words[w][i].encode("utf-8", "surrogatepass"), np.uint8)] if x == -1 else [x] for i, x in enumerate(p) if x != -2])
-            else:
-                p = p[p >= 0]
-            out.append(p.astype(np.int32).tobytes())
+        ends = np.r_[0, np.cumsum((piece >= 0).sum(axis=1))] * 4
+        data = piece[piece >= 0].tobytes()
+        out = [data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for w in np.flatnonzero((piece == -1).any(axis=1)):
+            p = [self.bytes_[np.frombuffer(words[w][i].encode("utf-8", "surrogatepass"), np.uint8)] if x == -1 else [x] for i, x in enumerate(piece[w]) if x != -2]
+            out[w] = np.concatenate(p).astype(np.int32).tobytes()
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -215,10 +220,11 @@ class Codec:
         """Piece numbers of each text."""
         own = "\0" + MARK
         rows = [self.words(t) for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
+        now = {w for r in rows for w in r}
+        if len(self.known) > KEPT:  # what this run of texts holds is the likeliest to come again
+            self.known = {w: self.known[w] for w in now if w in self.known}
         self.known[own] = self.bytes_[np.frombuffer(MARK.encode(), np.uint8)].tobytes()
-        self.learn({w for r in rows for w in r}.difference(self.known))
+        self.learn(now.difference(self.known))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, r)), np.int32) for r in rows]
 
     def decode(self, ids: np.ndarray) -> str:
