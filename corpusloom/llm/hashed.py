@@ -14,8 +14,8 @@ import numpy as np
 #: Size of the hashed feature space, a power of two; its upper half is for whole words.
 HALF = 1 << 18
 SPACE = 2 * HALF
-#: Words whose totals a worker keeps.
-KEPT = 400_000
+#: Words whose totals a worker keeps in each of two generations.
+KEPT = 100_000
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -26,15 +26,20 @@ def word_features(word: bytes) -> tuple[int, ...]:
 def memoised(weights: np.ndarray, features: Callable[[bytes], tuple[int, ...]]) -> Callable[[list[bytes]], float]:
     """Sum over words of the weights of their features."""
     known: dict[bytes, float] = {}
+    older: dict[bytes, float] = {}
 
     def total(words) -> float:
+        nonlocal known, older
         s = 0.0
         for w in words:
             x = known.get(w)
             if x is None:
+                x = older.get(w)
+                if x is None:
+                    x = float(sum(weights[f] for f in features(w)))
                 if len(known) >= KEPT:
-                    known.clear()
-                x = known[w] = float(sum(weights[f] for f in features(w)))
+                    known, older = {}, known
+                known[w] = x
             s += x
         return s
 
