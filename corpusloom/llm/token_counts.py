@@ -23,7 +23,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary splits a text before merging: contractions, letters, numbers, other marks, white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Lengths of one block of the suffix sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def ranks(path: str = RANKS) -> dict[bytes, int]:
