@@ -367,7 +367,7 @@ def _pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
 
 
 def with_few(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """rows joined with one column of ids: broadcast if ids are few (counted), else shuffled."""
+    """rows joined with ids (and a number for each): broadcast if ids are few (counted), else shuffled."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
@@ -470,8 +470,9 @@ def _rows(every: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFr
     """The result, from the classes' labels."""
     of_key = reps.select("key", F.col("doc_id").alias("component_id"))
     if labels is not None:
-        lowest = reps.select("key", "doc_id").join(labels, "key").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        of_key = reps.select("key", "doc_id").join(labels, "key", "left").join(lowest, "comp", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
+        lowest = written(reps.select("key", "doc_id").join(labels, "key").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "lowest")
+        named = with_few(labels, lowest, "comp", "inner").select("key", "component_id")
+        of_key = reps.select("key", "doc_id").join(named, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
     own = F.lit(NO_ID)
     rows = every.select("doc_id", "n", "key").join(of_key, "key", "left")
     return rows.select(F.nullif("doc_id", own).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), own).alias("component_id"))
