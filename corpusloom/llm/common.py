@@ -16,7 +16,9 @@ LOWER = bytes.maketrans(UPPER, UPPER.lower())
 #: Also maps every byte that is no word byte (0-9, a-z, 80-FF) to a space.
 WORDS = bytes(LOWER[i] if chr(LOWER[i]) in "0123456789abcdefghijklmnopqrstuvwxyz" or i >= 0x80 else 0x20 for i in range(256))
 #: Characters of text in one step of work inside a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -28,8 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bounded(spark: SparkSession) -> None:
+    """Ask the session for Arrow batches of few rows: a worker and its executor hold one or two of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the input folder."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -96,6 +104,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
+    bounded(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

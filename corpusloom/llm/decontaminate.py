@@ -32,7 +32,7 @@ BLOCK_BYTES = 16 << 20
 #: Passes over the rows before they are written to the shared folder.
 CHAIN = 4
 #: Bytes of text in one shard.
-SHARD = 8 << 20
+SHARD = 4 << 20
 BITS = 21
 
 

@@ -43,7 +43,7 @@ WIDTH, PERCENT = 3, 90
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
 NO_ID = -(1 << 63) + 1
 #: Bytes of text hashed in one numpy step.
-PIECE = 1 << 20
+PIECE = 1 << 18
 BITS, MOST_BITS = 512, 1 << 16
 #: Ids (16 bytes each) that are broadcast at most; beyond, joins shuffle.
 BROADCAST_IDS = 1_000_000
@@ -205,7 +205,7 @@ def _sets(docs: DataFrame, width: int, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            for part, rows in chunks(batch, 1, 2 << 20):
+            for part, rows in chunks(batch, 1):
                 yield make(part.column(0), shingle_sets(rows, width), state)
 
     return docs.select(F.coalesce(column(docs, "doc_id", "long"), F.lit(NO_ID)).alias("doc_id"), column(docs, "text", "string").alias("text")).mapInArrow(run, schema)
@@ -441,7 +441,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     bands = Bands(percent)
     every = written(classes(docs, bands, width), "classes")
     counts = {r["band"]: r["n"] for r in every.filter("band IS NOT NULL").groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each band
-    reps = written(every.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    reps = written(every.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "classes")
     met = written(buckets(signatures(docs, bands.allot(counts), width)), "buckets")
     sketched = reps.select(F.col("key").alias("_k"), "n", "sketch")
     members = lambda rows: rows.join(sketched, rows["key"].bitwiseAND(F.lit(-2)) == F.col("_k"))
@@ -467,15 +467,15 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 
 
 def _rows(every: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The result, from the classes' labels."""
-    of_key = reps.select("key", F.col("doc_id").alias("component_id"))
+    """The result, from the classes' labels; only classes with copies or links are looked up."""
+    of_key = reps.filter("copies > 1").select("key", F.col("doc_id").alias("component_id"))
     if labels is not None:
         lowest = written(reps.select("key", "doc_id").join(labels, "key").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "lowest")
-        named = with_few(labels, lowest, "comp", "inner").select("key", "component_id")
-        of_key = reps.select("key", "doc_id").join(named, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
-    own = F.lit(NO_ID)
-    rows = every.select("doc_id", "n", "key").join(of_key, "key", "left")
-    return rows.select(F.nullif("doc_id", own).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), own).alias("component_id"))
+        linked = with_few(labels, lowest, "comp", "inner").select("key", "component_id")
+        of_key = of_key.join(linked.select("key"), "key", "left_anti").union(linked)
+    none = F.lit(NO_ID)
+    rows = with_few(every.select("doc_id", "n", "key"), written(of_key, "components"), "key", "left")
+    return rows.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), none).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = STAGE_WIDTH, percent: int = STAGE_PERCENT) -> DataFrame:

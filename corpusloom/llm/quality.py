@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UPPER, column, own, read, set_aside, sigmoid, texts
+from corpusloom.llm.common import UPPER, bounded, column, own, read, set_aside, sigmoid, texts
 from corpusloom.llm.hashed import SPACE, Adam, memoised
 
 #: Documents that train the scorer, at most.
@@ -107,10 +107,10 @@ def fit_scorer(rows: list[tuple[np.ndarray, list[int]]], target: np.ndarray, ste
     doc, feature, value = [], [], []
     for i, (tokens, own) in enumerate(rows):
         f, c = np.unique(tokens, return_counts=True)
-        doc += [np.full(len(f) + len(own), i)]
-        feature += [f, np.array(own, np.int64)]
-        value += [c * (2.0 / max(1, len(tokens))), np.ones(len(own))]
-    doc, feature, value = np.concatenate(doc), np.concatenate(feature).astype(np.int64), np.concatenate(value)
+        doc += [np.full(len(f) + len(own), i, np.int32)]
+        feature += [f, np.array(own, np.int32)]
+        value += [(c * (2.0 / max(1, len(tokens)))).astype(np.float32), np.ones(len(own), np.float32)]
+    doc, feature, value = np.concatenate(doc), np.concatenate(feature), np.concatenate(value)
     common = np.bincount(feature, minlength=SPACE)[feature] >= 3
     doc, value = doc[common], value[common]
     names, feature = np.unique(feature[common], return_inverse=True)
@@ -187,6 +187,7 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of good quality, with their own columns."""
+    bounded(spark)
     _, weights, intercept = fit(docs)
     plain, back = set_aside(docs, ["quality"])
     return scored(plain, weights, intercept).filter("quality >= 0.5").drop("quality").withColumnsRenamed(back).select(*own(docs))

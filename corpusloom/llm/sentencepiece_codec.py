@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from corpusloom.llm.common import chunks, mix, read, sha256
+from corpusloom.llm.common import bounded, chunks, mix, read, sha256
 
 #: A public piece file.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,7 +35,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a key that choose its place in a direct table over the sorted keys.
 LOW = np.uint64((1 << 20) - 1)
 #: Words whose pieces a worker keeps.
-KEPT = 200_000
+KEPT = 100_000
 #: Cells (words times letters) of one Viterbi batch.
 CELLS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -234,6 +234,7 @@ class Codec:
 
 
 def _mapped(docs: DataFrame, pieces: Pieces, schema: StructType, make: Callable) -> DataFrame:
+    bounded(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(pieces), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

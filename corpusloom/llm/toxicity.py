@@ -51,9 +51,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, ra
     if len(set(grades.tolist())) < 2:
         return Ordinal(np.zeros(SPACE), np.full(1, 30.0 if not len(grades) or grades[0] == 0 else -30.0))
     k = int(grades.max())
-    doc, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
-    pairs, count = np.unique(doc * SPACE + feature, return_counts=True)
-    doc, feature = pairs // SPACE, pairs % SPACE
+    parts = [np.unique(r, return_counts=True) for r in rows]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in parts])
+    feature, count = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
+    del parts
     seen, high = np.bincount(feature, minlength=SPACE), np.bincount(feature, (grades > 0)[doc], SPACE)
     share = (grades > 0).mean()
     chi2 = (high - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9) * (len(rows) / np.maximum(len(rows) - seen, 1))
