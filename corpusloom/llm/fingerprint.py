@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import column, read, sha256, texts
 
 BUCKETS = 128
+#: Stands for a null id, which sorts first.
+NO_ID = -(1 << 63) + 1
 #: Bytes hashed in one numpy step.
 STEP = 1 << 20
-#: Bytes of text that one group of neighbouring documents should hold.
-GROUP_BYTES = 16 << 20
+#: Bytes of text that one group of neighbouring documents should hold, and groups at most: their bounds are part of the plan.
+GROUP_BYTES, MOST_GROUPS = 16 << 20, 20_000
 #: The most that each part of the difference adds, and their sum.
 LENGTH_CAP, RATIO_CAP, CHECK_COST = 48, 24, 6
 MOST = 3 * BUCKETS + LENGTH_CAP + 2 * RATIO_CAP + CHECK_COST
@@ -100,49 +102,52 @@ def _bucket(bounds: list[int], value: Column) -> Column:
     return F.when(value.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + F.expr(f"size(filter(element_at({fine}, greatest(1, size(filter({heads}, x -> x <= _v)))), x -> x <= _v))")).cast("int")
 
 
-def with_next(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """Rows (bucket, head, doc_id, text): neighbours in doc_id share a bucket, and each bucket also holds, flagged, the first row of the next (the first of all for the last).
+def with_next(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Rows (bucket, head, _v, text): neighbours in doc_id (_v) share a bucket, and each bucket also holds, flagged, the first row of the next (the first of all for the last).
 
     Bounds come from quantiles of doc_id over all rows; only one least doc_id a bucket reaches the driver.
     """
-    docs = docs.select(F.coalesce(column(docs, "doc_id", "long"), F.lit(-(1 << 63) + 1)).alias("_v"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(column(docs, "doc_id", "long"), F.lit(NO_ID)).alias("_v"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(int(size // group_bytes) + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(MOST_GROUPS, max(int(size // group_bytes) + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     bounds = sorted(set(docs.approxQuantile("_v", [i / n for i in range(1, n)], 0.2 / n))) if size else []
     docs = docs.withColumn("bucket", _bucket([int(x) for x in bounds], F.col("_v")) if bounds else F.lit(0))
     heads = [(r["bucket"], r["v"]) for r in docs.groupBy("bucket").agg(F.min("_v").alias("v")).orderBy("bucket").collect()]
     before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
     known = docs.sparkSession.createDataFrame([(b, v, before[b]) for b, v in heads], "bucket int, v long, before int")
     first = docs.join(F.broadcast(known), "bucket").filter(F.col("_v") == F.col("v")).select(F.col("before").alias("bucket"), F.lit(True).alias("head"), "_v", "text")
-    return docs.select("bucket", F.lit(False).alias("head"), "_v", "text").unionByName(first), n
+    return docs.select("bucket", F.lit(False).alias("head"), "_v", "text").unionByName(first)
 
 
 def edited(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Each row's fingerprint, that of its edited text, and their likeness; the edit takes the second half from the next row by (doc_id, text)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        head = np.array(table["head"].to_pylist(), bool)
-        pairs = list(zip(table["_v"].to_pylist(), table["text"].to_pylist(), strict=True))
-        rows = sorted(p for p, h in zip(pairs, head, strict=True) if not h)
-        after = min((p for p, h in zip(pairs, head, strict=True) if h), default=None)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")}
-        own = [digest(t.encode()) for _, t in rows]
-        own.append(digest(after[1].encode()) if after else b"")
-        new = []
-        for i, (v, t) in enumerate(rows):
-            half = len(t) // 2
-            other = (rows[i + 1] if i + 1 < len(rows) else after)[1]
-            data = (t[: len(t) - half] + other[:half]).encode()
-            new.append(digest(data))
-            out["doc_id"].append(None if v == -(1 << 63) + 1 else v)
-            out["n_chars"].append(len(t))
-            out["edited_sha256"].append(sha256(data))
-        out["fingerprint"] = [x.hex() for x in own[:-1]]
-        out["edited_fingerprint"] = [x.hex() for x in new]
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_chars": pa.array(out["n_chars"], pa.int64()), **{k: pa.array(out[k], pa.string()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")}, "near_edited": pa.array(likeness(own[:-1], new), pa.float64()), "near_next": pa.array(likeness(own[:-1], own[1:]), pa.float64())})
-
-    rows, _ = with_next(docs, group_bytes)
-    return rows.groupBy("bucket").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    """Each row's fingerprint, that of its edited text, and their likeness; the edit takes the second half from the next row by (doc_id, text).
+
+    Buckets are sorted and read as a stream of which one row is held at a time, whatever their size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # bucket, id, text, digest of the row whose next one is to come
+        for batch in batches:
+            ids: list = []
+            n_chars, hashes, own, new, after = [], [], [], [], []
+            for bucket, head, v, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None and head:
+                    continue  # another head, or one of a bucket that is done
+                d = digest(text.encode())
+                if held is not None and held[0] == bucket:
+                    half = len(held[2]) // 2
+                    data = (held[2][: len(held[2]) - half] + text[:half]).encode()
+                    ids.append(None if held[1] == NO_ID else held[1])
+                    n_chars.append(len(held[2]))
+                    hashes.append(sha256(data))
+                    own.append(held[3])
+                    new.append(digest(data))
+                    after.append(d)
+                held = None if head else (bucket, v, text, d)
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array(n_chars, pa.int64()), "edited_sha256": pa.array(hashes, pa.string()), "fingerprint": pa.array([x.hex() for x in own], pa.string()), "edited_fingerprint": pa.array([x.hex() for x in new], pa.string()), "near_edited": pa.array(likeness(own, new), pa.float64()), "near_next": pa.array(likeness(own, after), pa.float64())})
+
+    rows = with_next(docs, group_bytes).repartition("bucket").sortWithinPartitions("bucket", "head", "_v", "text")
+    return rows.select("bucket", "head", "_v", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
