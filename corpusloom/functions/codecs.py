@@ -15,13 +15,9 @@ from corpusloom.functions import text as T
 HANGUL, LEAD, VOWEL, SYLLABLES = 0xAC00, 588, 28, 11172
 
 
-def lookup(tokens: Column, ids: Column) -> Column:
-    """Numbers of tokens by a map column; unknown tokens are dropped."""
-    return F.filter(F.transform(tokens, lambda t: F.element_at(ids, t)), lambda i: i.isNotNull())
-
-
 def encode_chars(c: Column, ids: Column) -> Column:
-    return lookup(T.chars(c), ids)
+    """Numbers of a text's characters by an array column over code points; unknown characters are dropped."""
+    return F.filter(F.transform(T.chars(c), lambda t: F.get(ids, F.ascii(t))), lambda i: i.isNotNull())
 
 
 def decode(numbers: Column, tokens: Column) -> Column:

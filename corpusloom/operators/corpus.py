@@ -24,9 +24,10 @@ def numbered(items: DataFrame, item: str) -> DataFrame:
     return items.select(item).distinct().select(F.row_number().over(Window.orderBy(item)).alias("token_id"), item)
 
 
-def as_map(vocabulary: DataFrame, token: str, number: str) -> DataFrame:
-    """One row (ids): a map from token to number, for a join without a key."""
-    return vocabulary.agg(F.map_from_entries(F.collect_list(F.struct(token, number))).alias("ids"))
+def by_code(vocabulary: DataFrame, token: str, number: str) -> DataFrame:
+    """One row (ids): numbers of one-character tokens by code point, for a join without a key; lookups cost the same for any vocabulary."""
+    pairs = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct(F.ascii(token), number))).alias("m"), F.max(F.ascii(token)).alias("top"))
+    return pairs.select(F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda i: F.element_at("m", i)).alias("ids"))
 
 
 def as_array(vocabulary: DataFrame, token: str, number: str) -> DataFrame:

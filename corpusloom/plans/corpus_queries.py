@@ -48,14 +48,14 @@ def vocab_char_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of each document's letters, joined by spaces; other characters are dropped."""
-    ids = C.as_map(letters(spark, sf_dir), "c", "token_id")
+    ids = C.by_code(letters(spark, sf_dir), "c", "token_id")
     return table(spark, sf_dir, "documents").crossJoin(F.broadcast(ids)).select("doc_id", F.array_join(K.encode_chars(F.col("text"), F.col("ids")).cast("array<string>"), " ").alias("ids"))
 
 
 def decode_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text decoded from its letters' numbers."""
     v = letters(spark, sf_dir)
-    both = table(spark, sf_dir, "documents").crossJoin(F.broadcast(C.as_map(v, "c", "token_id"))).crossJoin(F.broadcast(C.as_array(v, "c", "token_id")))
+    both = table(spark, sf_dir, "documents").crossJoin(F.broadcast(C.by_code(v, "c", "token_id"))).crossJoin(F.broadcast(C.as_array(v, "c", "token_id")))
     return both.select("doc_id", K.decode(K.encode_chars(F.col("text"), F.col("ids")), F.col("tokens")).alias("decoded"))
 
 
