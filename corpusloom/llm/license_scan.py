@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
 A block is a line of a text; its set is that of its distinct words (A-Z in lower case, words
-`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`). A block meets a template if it holds at least `threshold` of the template's
+`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`). Hard-wrapped statements are found in blocks of a second kind: for each template,
+the runs of as many words as it has, across the lines of a paragraph (what lies between blank lines). A block meets a template if it holds at least `threshold` of the template's
 words: overlap >= need, the least whole number of words that is so much. Words are ordered from rare to
 frequent by the number of blocks of the whole corpus that hold them (then by the word). Three filters, none
 of which loses a block:
@@ -87,8 +88,6 @@ def template_words(spark: SparkSession, templates: dict[str, str]) -> dict[str,
 
 def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, hash, label, score): for each text and template that one of its blocks meets, the largest containment."""
-    import math
-
     spark, lines = docs.sparkSession, blocks(docs)
     sets = template_words(spark, templates)
     vocabulary = sorted({w for s in sets.values() for w in s})
@@ -97,11 +96,7 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thres
     held = _holding(lines, vocabulary)
     counts = {r["word"]: r["n"] for r in held.select(F.explode("shared").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each word of the templates at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    index = []
-    for label, s in sets.items():
-        ordered = sorted(s, key=rank.__getitem__)
-        need = max(1, math.ceil(threshold * len(s) - 1e-9))
-        index += [(w, label, i, len(s), need, s) for i, w in enumerate(ordered[: len(s) - need + 1])]
+    index = _index(sets, rank, threshold)
     prefixes = spark.createDataFrame(index, "word string, label string, place int, template_size int, need int, template array<string>")
     rare = sorted({row[0] for row in index})
     whole = lines.filter(F.arrays_overlap(F.split("line", GAP), F.array(*map(F.lit, rare)))).select("doc_id", "hash", F.array_distinct(words(F.col("line"))).alias("words"))
@@ -111,6 +106,50 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thres
     return met.groupBy("doc_id", "hash", "label").agg(F.max(F.col("overlap") / F.col("template_size")).alias("score"))
 
 
+def _index(sets: dict[str, list[str]], rank: dict[str, int], threshold: float) -> list[tuple]:
+    """(word, label, place, distinct words, need, template) of the prefixes of the templates."""
+    import math
+
+    index = []
+    for label, s in sets.items():
+        ordered = sorted(s, key=rank.__getitem__)
+        need = max(1, math.ceil(threshold * len(s) - 1e-9))
+        index += [(w, label, i, len(s), need, s) for i, w in enumerate(ordered[: len(s) - need + 1])]
+    return index
+
+
+def wrapped_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, hash, label, score): as similar_blocks, of runs of words of paragraphs of several lines, as long as the template.
+
+    A run that meets a template holds a word of its prefix, so only the words around such words leave the scan.
+    """
+    import re
+
+    spark, sets = docs.sparkSession, template_words(docs.sparkSession, templates)
+    vocabulary = sorted({w for s in sets.values() for w in s})
+    if not vocabulary:
+        return spark.createDataFrame([], "doc_id long, hash long, label string, score double")
+    texts = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    texts = texts.filter(F.col("text").contains("\n")).select("doc_id", F.xxhash64("text").alias("hash"), lowered(F.col("text")).alias("low"))
+    paragraphs = texts.select("doc_id", "hash", F.explode(F.split("low", r"\n[\x00-\x20]*\n")).alias("part")).filter(F.col("part").contains("\n"))
+    held = paragraphs.select(F.explode(F.array_intersect(F.split("part", GAP), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each word of the templates at most
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+    lengths = {k: len([w for w in re.split(GAP, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in templates[k])) if w]) for k in sets}
+    index = [(*row, lengths[row[1]]) for row in _index(sets, rank, threshold)]
+    prefixes = spark.createDataFrame(index, "word string, label string, place int, template_size int, need int, template array<string>, width int")
+    rare, most = F.array(*map(F.lit, sorted({row[0] for row in index}))), max(lengths.values())
+    whole = paragraphs.filter(F.arrays_overlap(F.split("part", GAP), rare)).select("doc_id", "hash", words(F.col("part")).alias("words"))
+    # the words on both sides of each word of a prefix, and its place (from 0) among them
+    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(rare, w), i)), lambda i: i.isNotNull())
+    near = F.transform(places, lambda i: F.struct(F.element_at("words", i + 1).alias("word"), F.least(i, F.lit(most - 1)).alias("at"), F.slice("words", F.greatest(i - (most - 1), F.lit(0)) + 1, F.lit(2 * most - 1)).alias("words")))
+    found = whole.select("doc_id", "hash", F.explode(near).alias("x")).select("doc_id", "hash", "x.word", "x.at", "x.words")
+    met = found.join(F.broadcast(prefixes), "word").filter((F.size("words") >= F.col("need")) & (F.size(F.array_intersect("words", "template")) >= F.col("need")))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), F.col("at"))
+    met = met.withColumn("overlap", F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i + 1, F.col("width")), F.col("template")))))).filter("overlap >= need")
+    return met.groupBy("doc_id", "hash", "label").agg(F.max(F.col("overlap") / F.col("template_size")).alias("score"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: words, places of the phrases, labels of both kinds and the best containment."""
     given = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.xxhash64(column(docs, "text", "string")).alias("hash"), spaced(lowered(column(docs, "text", "string"))).alias("s"))
@@ -125,7 +164,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         F.greatest(*(F.col("spaces") - spaces(F.element_at(F.col(f"`{k}`"), -1)) - 1 for k in parts)).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"`{k}`").isNotNull(), F.lit(k)) for k in parts)))).alias("base"),
     )
-    best = similar_blocks(docs, templates, threshold).groupBy("doc_id", "hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
+    best = similar_blocks(docs, templates, threshold).union(wrapped_blocks(docs, templates, threshold)).groupBy("doc_id", "hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
     rows = given.join(best, given["doc_id"].eqNullSafe(best["doc_id"]) & (given["hash"] == best["hash"]), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return rows.select(given["doc_id"], "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))

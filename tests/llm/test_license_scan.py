@@ -62,3 +62,36 @@ def test_thresholds(spark, threshold):
 def test_no_python_in_the_plan(spark, data):
     plan = L.op4_license_scan(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_wrapped_statements(spark):
+    """Statements broken over lines are found, also inside long paragraphs; lines of different paragraphs are not joined."""
+    wrapped = {
+        "mit-grant": "x\n\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the Software), to deal",
+        "bsd": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:",
+        "cc0": "z " * 500 + "\nTo the extent possible under law, the author has waived\nall copyright and related or neighboring\nrights to this work" + "\nz" * 500,
+        "mpl-2.0": "This Source Code Form is subject to the terms of\nthe Mozilla Public License, v. 2.0",
+        "": "Permission is hereby granted, free of charge, to any\n\nperson obtaining a copy of this software and associated documentation files",
+    }
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(wrapped.values())), "doc_id long, text string")).collect()}
+    assert {i: r.labels for i, r in got.items()} == dict(enumerate(wrapped))
+    assert [got[i].score for i in range(5)] == [1.0, 1.0, 1.0, 1.0, 0.0]
+
+
+def test_runs_of_words_against_brute_force(spark):
+    import random
+
+    random.seed(9)
+    templates = {f"t{k}": " ".join(random.choices("abcdefghijkl", k=random.randint(1, 9))) for k in range(12)}
+    rows = [(i, "\n".join(" ".join(random.choices("abcdefghijklmn", k=random.randint(0, 12))) for _ in range(5))) for i in range(40)]
+    got = {(r.doc_id, r.label): round(r.score, 9) for r in L.wrapped_blocks(spark.createDataFrame(rows, "doc_id long, text string"), templates, 0.8).collect()}
+    want = {}
+    for i, text in rows:
+        for part in re.split(r"\n\s*\n", text):
+            w = part.split()
+            for k, t in templates.items() if "\n" in part else ():
+                n, t = len(t.split()), set(t.split())
+                share = max((len(set(w[j : j + n]) & t) / len(t) for j in range(max(1, len(w) - n + 1))), default=0)
+                if share >= 0.8 - 1e-9:
+                    want[i, k] = max(want.get((i, k), 0), round(share, 9))
+    assert got == want
