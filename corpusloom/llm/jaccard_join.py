@@ -448,7 +448,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     hot = crowded(met)
     edges = written(_pairs(members(cells(met, hot, False)).select("sig", "key", "n", "sketch", "side"), percent, False), "edges")
     pairs = written(edges.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
-    if not pairs.limit(1).count():
+    if not pairs.limit(1).count() and not hot.limit(1).count():  # split buckets still have blocks to compare
         return _rows(every, reps, None)
     sets = sets_of(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), width)
     links, labels = resolved(sets, pairs, percent)

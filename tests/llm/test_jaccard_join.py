@@ -116,3 +116,13 @@ def test_awkward_rows(spark, awkward):
     gone = {r.source for r in awkward.collect()} - {r.source for r in kept.collect()}
     assert gone in ({"s3", "s5", "s9"}, {"s4", "s5", "s9"})
     assert J.keep_one(spark, awkward.limit(0), "").count() == 0
+
+
+def test_split_buckets_without_a_first_pair(spark, monkeypatch):
+    """A first pass that yields nothing doesn't end the search where buckets are split."""
+    rows = [(i, " ".join(f"w{k}" for k in range(40)) + f" own{i}") for i in range(12)]
+    real = J._pairs
+    monkeypatch.setattr(J, "HOT", 6)
+    monkeypatch.setattr(J, "_pairs", lambda cells, percent, grid: real(cells, percent, grid) if grid else real(cells, percent, grid).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, J.linked_components(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
