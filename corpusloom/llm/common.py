@@ -90,11 +90,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests), one in the temporary folder of this machine."""
+    """The shared folder of the session. Where none is set, a session on one machine (tests) gets one there; on a cluster that is an error."""
     import tempfile
 
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not (where := spark.sparkContext.getCheckpointDir()):
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(where := tempfile.mkdtemp(prefix="corpusloom-"))
     return where
 

@@ -18,7 +18,9 @@ Texts (A-Z in lower case) become sets of hashed shingles of `width` words; two s
    yet in one component. Where all edges of a bucket lie inside components, it is joined up. The other buckets
    are met again, and every pair left there between different components is compared.
    So no link between different texts is lost, and dense groups cost a few comparisons a member. A bucket of more
-   than HOT classes is split into blocks with common pivots, and on the second meeting into all pairs of blocks.
+   than HOT classes is split into blocks with common pivots; on the second meeting only its components meet, the
+   largest once with all others, so a bucket that is one component by then costs nothing more. Of m classes outside the
+   largest component, m * m / 2 sketches are compared, in blocks of CELL.
 5. Components: labels take the least neighbour's and then jump to their label's label, until they rest.
 
 A text of fewer words than `width` has its whole word sequence as one shingle; one without words or null has an empty
@@ -33,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, M1, chunks, column, mix, own, read, written
+from corpusloom.llm.common import LOWER, M1, M2, M3, chunks, column, mix, own, read, written
 
 WIDTH, PERCENT = 3, 90
 #: What holds for near-duplicate stages of a pipeline.
@@ -48,7 +50,9 @@ BITS, MOST_BITS = 512, 1 << 16
 #: Ids (16 bytes each) that are broadcast at most; beyond, joins shuffle.
 BROADCAST_IDS = 1_000_000
 #: Buckets of more classes are split into blocks of about half as many; PIVOTS of their classes stand in every block.
-HOT, PIVOTS = 1024, 8
+HOT, PIVOTS = 256, 8
+#: Classes of one side of a cell, about, when the components of a split bucket meet again.
+CELL = 8192
 #: What a pair that meets costs, in signatures.
 PAIR_COST = 5.0
 #: Rounds of comparisons; the last compares whatever is left.
@@ -58,7 +62,9 @@ SEEN = 200_000
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * M1)
-POWERS = np.cumprod(np.r_[np.uint64(1), np.full(1 << 12, np.uint64(0x9E3779B97F4A7C15))], dtype=np.uint64)
+#: Odd factors of the places inside a stretch of a word; each stretch has one more of its own.
+STRETCH = 1 << 12
+FACTORS = mix(np.arange(STRETCH, dtype=np.uint64) * M1 + M2) | np.uint64(1)
 EVEN = ~np.uint64(1)
 
 
@@ -76,7 +82,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         if len(first):
             size = last - first
             place = np.arange(len(b)) - np.repeat(first, np.diff(np.r_[first, len(b)])) if first[0] == 0 else np.r_[np.zeros(first[0], np.int64), np.arange(first[0], len(b)) - np.repeat(first, np.diff(np.r_[first, len(b)]))]
-            value = BYTE[b] * POWERS[place & 4095] + (place >> 12).astype(np.uint64) * M1
+            value = BYTE[b] * FACTORS[place & STRETCH - 1]
+            if size.max() > STRETCH:  # the first stretch has the factor 1
+                far = mix(np.arange(1 + size.max() // STRETCH, dtype=np.uint64) * M1 + M3) | np.uint64(1)
+                far[0] = 1
+                value *= far[place >> 12]
             value[SEPARATOR[b]] = 0
             starts.append(first + at)
             hashes.append(mix(np.add.reduceat(value, first) + size.astype(np.uint64)))
@@ -259,19 +269,37 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.Arr
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
-    """(sig, key) of signatures that two classes or more share, one of them native."""
+    """(sig, key) of signatures that two classes or more share, one of them native.
+
+    Native ones come first, so that a bucket, however large, is read as a stream of which one row is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, key in runs(batches):
-            sig, key = sig.to_numpy(), key.to_numpy()
-            new = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
+        last: tuple[int, int] | None = None  # the row before
+        native, held = False, None  # of its bucket: whether it has a native class; its only row so far
+        for batch in batches:
+            sig, key = (c.to_numpy() for c in batch.columns)
+            before = last or (None, None)
+            new = np.r_[(sig[:1] != before[0]) | (key[:1] != before[1]), (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
             sig, key = sig[new], key[new]
-            first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            size = np.diff(np.r_[first, len(sig)])
-            keep = np.repeat((size > 1) & (np.add.reduceat(key & 1, first) > 0), size)
-            yield pa.record_batch({"sig": pa.array(sig[keep]), "key": pa.array(key[keep])})
-
-    return sigs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig long, key long")
+            if not len(sig):
+                continue
+            goes_on = sig[0] == before[0]
+            starts = np.r_[0, np.flatnonzero(sig[1:] != sig[:-1]) + 1]
+            size = np.diff(np.r_[starts, len(sig)])
+            has, many = (key[starts] & 1).astype(bool), size > 1
+            if goes_on:
+                has[0], many[0] = native, True
+            keep = np.repeat(has & many, size)
+            out_sig, out_key = sig[keep], key[keep]
+            if goes_on and has[0] and held is not None:
+                out_sig, out_key = np.r_[held[0], out_sig], np.r_[held[1], out_key]
+            native = bool(has[-1])
+            held = None if many[-1] else (sig[-1], key[-1])
+            last = (sig[-1], key[-1])
+            yield pa.record_batch({"sig": pa.array(out_sig), "key": pa.array(out_key)})
+
+    return sigs.repartition("sig").sortWithinPartitions("sig", (F.col("key").bitwiseAND(F.lit(1))).desc(), "key").mapInArrow(run, "sig long, key long")
 
 
 def crowded(met: DataFrame) -> DataFrame:
@@ -280,25 +308,50 @@ def crowded(met: DataFrame) -> DataFrame:
     return written(sizes.select("sig", F.ceil(F.col("k") * 2 / HOT).cast("long").alias("parts")), "crowded")
 
 
-def cells(met: DataFrame, hot: DataFrame, grid: bool) -> DataFrame:
-    """(sig, key, side): buckets as they are dealt to tasks; those of `hot` under a number for each cell.
+def _block(parts) -> F.Column:
+    """The block of a class, by the hash of its key without the last bit."""
+    return F.pmod(F.xxhash64(F.col("key").bitwiseAND(F.lit(-2))), parts)
 
-    Without grid, a block of the bucket and its pivots are a cell. With grid, each two blocks are one, in which
-    only pairs of different sides are due, and each block is one by itself (side -1): together every pair once.
-    """
+
+def _upto(n) -> F.Column:
+    """A row for each number below n (none if n is 0)."""
+    return F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))
+
+
+def cells(met: DataFrame, hot: DataFrame) -> DataFrame:
+    """(sig, key, side -1): buckets as they are dealt to tasks; of those of `hot`, each block with the bucket's pivots under a number of its own."""
     if not hot.limit(1).count():
         return met.withColumn("side", F.lit(-1))
-    rows = with_few(met, hot, "sig", "left").withColumn("block", F.pmod(F.xxhash64(F.col("key").bitwiseAND(F.lit(-2))), "parts"))
-    cold = rows.filter("parts IS NULL").select("sig", "key", F.lit(-1).alias("side"))
-    warm = rows.filter("parts IS NOT NULL")
-    if grid:
-        each = warm.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        dealt = each.select(F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("sig"), "key", F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
-    else:
-        rank = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
-        pivots = warm.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("other <> block")
-        dealt = warm.select("sig", "key", "block").union(pivots.select("sig", "key", "other")).select(F.xxhash64("sig", "block").alias("sig"), "key", F.lit(-1).alias("side"))
-    return cold.union(dealt)
+    rows = with_few(met, hot, "sig", "left")
+    cold = rows.filter("parts IS NULL").select("sig", "key")
+    warm = rows.filter("parts IS NOT NULL").withColumn("block", _block(F.col("parts")))
+    pivots = warm.groupBy("sig", "parts", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PIVOTS)).alias("turn")).agg(F.min("key").alias("key"))
+    pivots = pivots.withColumn("block", _block(F.col("parts"))).withColumn("other", _upto(F.col("parts"))).filter("other <> block")
+    dealt = warm.select("sig", "key", "block").union(pivots.select("sig", "key", "other")).select(F.xxhash64("sig", "block").alias("sig"), "key")
+    return cold.union(dealt).withColumn("side", F.lit(-1))
+
+
+def apart(met: DataFrame, hot: DataFrame, open_: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, key, comp, side): buckets with classes of several components left; split ones in cells of which only pairs of different sides (or all: side -1) are due.
+
+    Of a split bucket, the classes of its largest component meet all others, and the others meet each other, in
+    blocks of about CELL classes. A bucket that is one component by now is not dealt at all.
+    """
+    of = lambda rows: rows.join(comps, rows["key"].bitwiseAND(F.lit(-2)) == comps["_c"], "left").select("sig", "key", F.coalesce("comp", F.col("key").bitwiseAND(F.lit(-2))).alias("comp"))
+    cold = of(with_few(met, open_.join(hot.select("sig"), "sig", "left_anti"), "sig", "left_semi")).withColumn("side", F.lit(-1))
+    if not hot.limit(1).count():
+        return cold
+    warm = written(of(with_few(met, hot.select("sig"), "sig", "left_semi")), "crowded")
+    sizes = warm.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    parts = lambda n: F.ceil(n / CELL).cast("long")
+    sizes = written(sizes.select("sig", F.col("big.comp").alias("big"), parts(F.col("big.n")).alias("ours"), parts(F.col("n") - F.col("big.n")).alias("theirs")), "crowded")
+    rows = with_few(warm, sizes, "sig", "inner").withColumn("of_big", F.col("comp") == F.col("big"))
+    rows = rows.withColumn("block", _block(F.when(F.col("of_big"), F.col("ours")).otherwise(F.col("theirs"))))
+    ours = rows.filter("of_big").withColumn("other", _upto(F.col("theirs"))).select(F.xxhash64("sig", F.lit(1), "block", "other").alias("sig"), "key", "comp", F.lit(0).alias("side"))
+    rest = rows.filter("NOT of_big")
+    theirs = rest.withColumn("other", _upto(F.col("ours"))).select(F.xxhash64("sig", F.lit(1), "other", "block").alias("sig"), "key", "comp", F.lit(1).alias("side"))
+    among = rest.withColumn("other", _upto(F.col("theirs"))).select(F.xxhash64("sig", F.lit(2), F.least("block", "other"), F.greatest("block", "other")).alias("sig"), "key", "comp", F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
+    return cold.union(ours).union(theirs).union(among)
 
 
 def _near(x: np.ndarray, n: np.ndarray, native: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
@@ -446,7 +499,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     sketched = reps.select(F.col("key").alias("_k"), "n", "sketch")
     members = lambda rows: rows.join(sketched, rows["key"].bitwiseAND(F.lit(-2)) == F.col("_k"))
     hot = crowded(met)
-    edges = written(_pairs(members(cells(met, hot, False)).select("sig", "key", "n", "sketch", "side"), percent, False), "edges")
+    edges = written(_pairs(members(cells(met, hot)).select("sig", "key", "n", "sketch", "side"), percent, False), "edges")
     pairs = written(edges.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
     if not pairs.limit(1).count() and not hot.limit(1).count():  # split buckets still have blocks to compare
         return _rows(every, reps, None)
@@ -455,10 +508,9 @@ def linked_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     if links is None:
         labels = pairs.limit(0).select(F.col("a").alias("key"), F.col("b").alias("comp"))
     comps = labels.select(F.col("key").alias("_c"), "comp")
-    apart = edges.select("sig", "a", "b").join(comps.withColumnsRenamed({"_c": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"_c": "b", "comp": "cb"}), "b", "left")
-    open_ = written(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("sig").distinct(), "open")
-    again = members(cells(with_few(met, open_.union(hot.select("sig")), "sig", "left_semi"), hot, True))
-    again = again.join(comps, again["_k"] == comps["_c"], "left").select("sig", "key", "n", "sketch", "side", F.coalesce("comp", "_k").alias("comp"))
+    ends = edges.select("sig", "a", "b").join(comps.withColumnsRenamed({"_c": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"_c": "b", "comp": "cb"}), "b", "left")
+    open_ = written(ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("sig").distinct(), "open")
+    again = members(apart(met, hot, open_, comps)).select("sig", "key", "n", "sketch", "side", "comp")
     more = written(_pairs(again, percent, True).groupBy("a", "b").agg(F.min("d").alias("d")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         lacking = more.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key"), "key", "left_anti")
@@ -481,19 +533,22 @@ def _rows(every: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFr
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = STAGE_WIDTH, percent: int = STAGE_PERCENT) -> DataFrame:
     """Of each component, the rows of its smallest doc_id, equal ones once.
 
-    Texts without words and rows without an id all stay. An id given to several texts goes only where none of
-    them is the lowest of its component. docs needs doc_id and text.
+    Rows without an id take part under a number above 2^62 made of the hash of their text, so of a component with ids they go,
+    and of one without, the rows of one text stay once. Texts without words all stay. An id given to several texts goes only where none of
+    them is the lowest of its component. docs needs doc_id and text; other columns keep their names and values.
     """
-    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    rows = written(linked_components(named, width, percent).filter("n_shingles > 0"), "components")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    rows = written(linked_components(docs.select(number.alias("doc_id"), "text"), width, percent).filter("n_shingles > 0"), "components")
     ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = written(ids.filter("NOT stays").select("doc_id"), "gone")
-    kept = with_few(docs, gone, "doc_id", "left_anti").select(*own(docs))
-    twice = written(ids.filter("stays AND n > 1").select("doc_id"), "twice")
+    mine = next(c for c in ("_number", "_number_", "_number__", "_number___") if c not in {x.lower() for x in docs.columns})
+    numbered = docs.withColumn(mine, number)
+    gone = written(ids.filter("NOT stays").select(F.col("doc_id").alias(mine)), "gone")
+    kept = with_few(numbered, gone, mine, "left_anti")
+    twice = written(ids.filter("stays AND n > 1").select(F.col("doc_id").alias(mine)), "twice")
     if twice.limit(1).count():
-        some = with_few(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = with_few(kept, twice, "doc_id", "left_anti").select(*own(docs)).union(some.select(*own(docs)))
-    return kept
+        some = with_few(kept, twice, mine, "left_semi").dropDuplicates([mine, "text"])
+        kept = with_few(kept, twice, mine, "left_anti").select(*own(docs)).union(some.select(*own(docs)))
+    return kept.select(*own(docs))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,7 @@ def test_split_buckets_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     monkeypatch.setattr(J, "HOT", 6)
     monkeypatch.setattr(J, "PIVOTS", 1)
+    monkeypatch.setattr(J, "CELL", 5)
     assert sorted(map(tuple, J.linked_components(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
 
 
@@ -123,6 +124,80 @@ def test_split_buckets_without_a_first_pair(spark, monkeypatch):
     rows = [(i, " ".join(f"w{k}" for k in range(40)) + f" own{i}") for i in range(12)]
     real = J._pairs
     monkeypatch.setattr(J, "HOT", 6)
+    monkeypatch.setattr(J, "CELL", 4)
     monkeypatch.setattr(J, "_pairs", lambda cells, percent, grid: real(cells, percent, grid) if grid else real(cells, percent, grid).limit(0))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, J.linked_components(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
+
+
+def test_places_inside_long_words():
+    """Bytes that change places at any distance make another word, as do runs whose differences cancel in a polynomial."""
+    for gap in (1, 4095, 4096, 8192, 3 * 4096, 100_000):
+        a, b = (x + b"x" * (gap - 1) + y for x, y in ((b"a", b"b"), (b"b", b"a")))
+        assert J.word_hashes(a)[1][0] != J.word_hashes(b)[1][0], gap
+    thue = "a"
+    for _ in range(14):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    assert J.word_hashes(thue.encode())[1][0] != J.word_hashes(thue.translate(str.maketrans("ab", "ba")).encode())[1][0]
+
+
+def test_long_words_are_not_linked(spark):
+    words = ["a" + "x" * 4095 + "b", "b" + "x" * 4095 + "a", "x" * 9000, "x" * 9001]
+    rows = [(i, w) for i, w in enumerate(words + words)]
+    got = J.linked_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 3, 90)
+
+
+def look_alikes(n):
+    """Texts of which each two share two thirds: they meet in buckets and are not linked."""
+    shared = [f"s{i}" for i in range(60)]
+    return [" ".join([*shared, *(f"u{k}_{i}" for i in range(28))]) for k in range(n)]
+
+
+@pytest.mark.parametrize("hot,cell", [(8, 6), (8, 1000)])
+def test_crowded_buckets(spark, monkeypatch, hot, cell):
+    """A bucket of more than 3 * HOT classes that is one component, and one of look-alikes, some with near copies."""
+    monkeypatch.setattr(J, "HOT", hot)
+    monkeypatch.setattr(J, "CELL", cell)
+    base = [f"b{i}" for i in range(150)]
+    near = [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(3, 3 + 3 * hot + 5)]
+    alike = look_alikes(3 * hot + 5)
+    rows = list(enumerate([*near, *alike, *(t + " end" for t in alike[::3])]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    real = J.apart
+    monkeypatch.setattr(J, "apart", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert sorted(map(tuple, J.linked_components(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
+    assert seen
+
+
+def test_one_component_is_not_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 8)
+    base = [f"b{i}" for i in range(150)]
+    rows = list(enumerate(" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(3, 40)))
+    seen = []
+    real = J.apart
+    monkeypatch.setattr(J, "apart", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = J.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert {r.component_id for r in got.collect()} == {0}
+    assert seen[0].count() == 0
+
+
+def test_buckets_as_a_stream(spark):
+    """Of sorted rows in batches of any size, the same buckets."""
+    r = random.Random(3)
+    rows = sorted({(r.randint(0, 9), 2 * r.randint(0, 6) + (r.random() < 0.1)) for _ in range(70)} | {(50, 7), (60, 2), (60, 4), (70, 3), (70, 8)})
+    want = sorted(x for x in rows if len([y for y in rows if y[0] == x[0]]) > 1 and any(y[1] & 1 for y in rows if y[0] == x[0]))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "2", "3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = sorted(map(tuple, J.buckets(spark.createDataFrame([x for x in rows for _ in range(r.randint(1, 3))], "sig long, key long")).collect()))
+        assert got == want, size
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_rows_without_an_id_are_compared(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (7, text + " x"), (None, "other " + text[:30]), (None, "other " + text[:30])]
+    kept = J.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r.doc_id or -1, r.text[:5]) for r in kept.collect()) == [(-1, "other"), (7, "w0 w1")]
