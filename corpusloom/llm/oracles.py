@@ -25,8 +25,8 @@ words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, i + unnest(range(
 items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
 starts AS (SELECT DISTINCT r, i - k AS diagonal, item, i, i + size AS till FROM hits JOIN (SELECT item, size, array_to_string(w[k + 1:k + size], ' ') AS win, k FROM (SELECT item, w, size, unnest(range(len(w) - size + 1)) AS k FROM n)) p USING (item, size) JOIN grams g USING (r, i, size) WHERE g.win = p.win),
 runs AS (SELECT r, item, diagonal, i, till, i - row_number() OVER (PARTITION BY r, item, diagonal ORDER BY i) AS run FROM starts),
-longest AS (SELECT r, max(n) AS longest_match FROM (SELECT r, max(till) - min(i) AS n FROM runs GROUP BY r, item, diagonal, run) GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest_match, 0)::BIGINT AS longest_match
+longest AS (SELECT r, max(n) AS longest_match, arg_min(first, (-n, first)) AS longest_first FROM (SELECT r, max(till) - min(i) AS n, min(i) AS first FROM runs GROUP BY r, item, diagonal, run) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest_match, 0)::BIGINT AS longest_match, longest_first::BIGINT AS longest_first
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r)
 """
 
