@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD
+from corpusloom.llm.license_scan import PHRASES, TELLING, TEMPLATES, THRESHOLD, WINDOW
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
@@ -35,10 +35,11 @@ LICENSES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOW} AS low, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
 places AS ({_PLACES}),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r),
-lines AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{_WORD}')) AS block FROM d),
-t(label, text) AS (VALUES {", ".join(f"('{k}', '{_quoted(v)}')" for k, v in TEMPLATES.items())}),
-templates AS (SELECT label, list_distinct(regexp_extract_all({_LOW}, '{_WORD}')) AS words FROM t),
-met AS (SELECT r, label, len(list_intersect(block, words)) / len(words) AS share FROM lines, templates WHERE len(list_intersect(block, words)) >= {THRESHOLD} * len(words) - 1e-9),
+t(label, text, telling) AS (VALUES {", ".join(f"('{k}', '{_quoted(v)}', {list(TELLING.get(k, ()))!r}::VARCHAR[])" for k, v in TEMPLATES.items())}),
+templates AS (SELECT label, telling, list_distinct(tw) AS words, ceil({WINDOW} * len(tw))::BIGINT AS width FROM (SELECT label, telling, regexp_extract_all({_LOW}, '{_WORD}') AS tw FROM t)),
+able AS (SELECT r, w, label, telling, words, width FROM (SELECT r, w, list_distinct(w) AS u FROM d), templates WHERE len(list_intersect(u, words)) >= {THRESHOLD} * len(words) - 1e-9),
+blocks AS (SELECT r, label, telling, words, list_distinct(w[i + 1:i + width]) AS block FROM (SELECT *, unnest(range(len(w))) AS i FROM able) WHERE list_contains(words, w[i + 1])),
+met AS (SELECT r, label, len(list_intersect(block, words)) / len(words) AS share FROM blocks WHERE len(list_intersect(block, words)) >= {THRESHOLD} * len(words) - 1e-9 AND len(list_intersect(block, telling)) = len(telling)),
 more AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS score FROM met GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
 array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
