@@ -4,10 +4,12 @@ Each heuristic votes 0 (poor), 1 (good) or 2 (no opinion) on a text. Expectation
 of all vote patterns (3 to the number of heuristics at most, counted over every document) estimates each
 heuristic's outcome rates in both classes; no gold label is used. The posteriors of a bounded sample of
 documents then train a logistic model over hashed tokens, token shapes and bucketed text statistics, which
-scores every whole text. A document is good if its score is at least 0.5.
+scores every whole text. A document is good if its score is at least 0.5 (a tie at 0.5 is good).
 
-Null and empty texts get no vote but 2 and are scored by the intercept and their buckets. Repeated rows score
-alike. An empty table gives an empty result. Extra columns pass through keep().
+The sample is the `sample` different texts with the lowest hashes, so copies count once and its size is a bound.
+Null and empty texts get no vote but 2 and are scored by the intercept and their buckets. Very long texts are read whole; all
+statistics are shares or means, the same at every length. Repeated rows score
+alike. An empty table gives an empty result. Extra columns pass through keep(), clashing ones included.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from corpusloom.llm.hashed import SPACE, Adam, memoised
 
 #: Documents that train the scorer, at most.
 SAMPLE = 5000
+#: Tokens of a stretch in which different ones are counted.
+STRETCH = 100
 SYMBOLS = b"#$%&*|<>{}[]~^=@\\_+"
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 DIGITS = bytes(range(48, 58))
@@ -34,8 +38,15 @@ SHAPE = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else 48
 VOTERS = ("capitals", "symbols", "exclamations", "bars", "repeats", "variety", "word_length", "letters")
 
 
+def variety(tokens: list[bytes]) -> float:
+    """Mean share of different tokens in stretches of STRETCH tokens; the last stretch ends with the text, a shorter text is one."""
+    n = len(tokens)
+    starts = [*range(0, n - STRETCH, STRETCH), max(0, n - STRETCH)]
+    return sum(len(set(tokens[i : i + STRETCH])) for i in starts) / (len(starts) * max(1, min(n, STRETCH)))
+
+
 def statistics(text: bytes) -> tuple[list[bytes], tuple[float, ...]]:
-    """White-space tokens; shares of capitals, symbols, exclamations, bars, repeated neighbours, distinct tokens; mean length; share of letters and digits."""
+    """White-space tokens; shares of capitals, symbols, exclamations, bars, repeated neighbours, different tokens; mean length; share of letters and digits."""
     tokens = text.split()
     n = max(1, len(tokens))
     letters = len(text) - len(text.translate(None, LETTERS))
@@ -43,7 +54,7 @@ def statistics(text: bytes) -> tuple[list[bytes], tuple[float, ...]]:
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     repeats = sum(map(bytes.__eq__, tokens[1:], tokens[:-1]))
     solid = max(1, sum(map(len, tokens)))
-    return tokens, (capitals / max(1, letters), symbols / n, text.count(b"!!") / n, text.count(b" | ") / n, repeats / n, len(set(tokens)) / min(n, 300), solid / n, (letters + len(text) - len(text.translate(None, DIGITS))) / solid)
+    return tokens, (capitals / max(1, letters), symbols / n, text.count(b"!!") / n, text.count(b" | ") / n, repeats / n, variety(tokens), solid / n, (letters + len(text) - len(text.translate(None, DIGITS))) / solid)
 
 
 def votes(tokens: int, x: tuple[float, ...]) -> tuple[int, ...]:
@@ -140,25 +151,32 @@ def pattern_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray, float]:
-    """The label model from all documents, the scorer from a sample that the hash of (doc_id, text) picks."""
+    """The label model from all documents, the scorer from the sample."""
     patterns, counts = pattern_counts(docs)
     labels = fit_labels(patterns, counts)
-    given = docs.select(column(docs, "doc_id", "long").alias("_id"), column(docs, "text", "string").alias("text"))
-    share = min(1.0, sample / max(1.0, counts.sum()))
-    mark = F.pmod(F.xxhash64("_id", F.octet_length("text")), F.lit(1 << 30))
-    some = given.filter(mark < int(share * (1 << 30))).select("text")
+    text = F.coalesce(column(docs, "text", "string"), F.lit(""))
+    given = docs.select(F.xxhash64(text).alias("mark"), text.alias("text"))
+    # the lowest marks are below a share that holds twice the sample, by an estimate of the number of different texts
+    share = min(1.0, 2 * sample / max(1, given.agg(F.approx_count_distinct("mark")).first()[0]))
+    low = F.col("mark") < int(share * (1 << 63)) * 2 - (1 << 63) if share < 1 else F.lit(True)
+    marks = given.filter(low).select("mark").distinct().orderBy("mark").limit(sample)
+    some = given.filter(low).join(F.broadcast(marks), "mark").select("mark", "text")  # as many marks as the sample, at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            out: dict[str, list] = {"tokens": [], "own": [], "votes": []}
-            for t in texts(batch.column(0)):
-                tokens, x = statistics(t)
-                out["tokens"].append(np.fromiter((f for w in tokens for f in token_features(w)), np.int32).tobytes())
-                out["own"].append(buckets(x))
-                out["votes"].append(list(votes(len(tokens), x)))
-            yield pa.record_batch({"tokens": pa.array(out["tokens"], pa.binary()), "own": pa.array(out["own"], pa.list_(pa.int32())), "votes": pa.array(out["votes"], pa.list_(pa.int32()))})
-
-    got = some.mapInArrow(run, "tokens binary, own array<int>, votes array<int>").toArrow()
+            out: dict[str, list] = {"mark": [], "tokens": [], "own": [], "votes": []}
+            for mark, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                if mark not in seen:
+                    seen.add(mark)
+                    tokens, x = statistics(t)
+                    out["mark"].append(mark)
+                    out["tokens"].append(np.fromiter((f for w in tokens for f in token_features(w)), np.int32).tobytes())
+                    out["own"].append(buckets(x))
+                    out["votes"].append(list(votes(len(tokens), x)))
+            yield pa.record_batch({"mark": pa.array(out["mark"], pa.int64()), "tokens": pa.array(out["tokens"], pa.binary()), "own": pa.array(out["own"], pa.list_(pa.int32())), "votes": pa.array(out["votes"], pa.list_(pa.int32()))})
+
+    got = some.mapInArrow(run, "mark long, tokens binary, own array<int>, votes array<int>").dropDuplicates(["mark"]).orderBy("mark").toArrow()
     rows = [(np.frombuffer(t, np.int32), o) for t, o in zip(got["tokens"].to_pylist(), got["own"].to_pylist(), strict=True)]
     target = labels.posterior(np.array(got["votes"].to_pylist(), np.int64).reshape(-1, len(VOTERS)))
     return labels, *fit_scorer(rows, target)

@@ -9,8 +9,8 @@ The model is fitted on at most `sample` labelled rows (the lowest hashes of doc_
 it scores every whole text. Labels hold grades 0, 1, 2, ...; where they hold only 0 and 1, the 1s are dealt to
 grades 1 and 2 at the median of how many of their words have a feature never seen in grade 0.
 
-Null and empty texts have no features: their severity is that of the cuts alone. Unlabelled or single-grade
-tables give a model that finds nothing. Repeated rows are scored alike; several labels of a document count
+Null and empty texts have no features: their severity is that of the cuts alone. Very long texts are read whole. Unlabelled or single-grade
+tables give a model that finds nothing; empty documents give no rows. Repeated rows are scored alike; several labels of a document count
 as the highest. Extra columns pass through keep(); null ids are scored but never used for fitting.
 """
 
@@ -98,10 +98,11 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """(text, y) of at most `sample` labelled documents, equal texts once. The broadcast ids are as many at most."""
+    """(text, y) of at most `sample` different texts of as many labelled ids. The broadcast ids are as many at most; an id may have any number of rows."""
     chosen = labels.select(column(labels, "doc_id", "long").alias("_id"), column(labels, label, "int").alias("y")).dropna().groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     one = docs.select(column(docs, "doc_id", "long").alias("_id"), column(docs, "text", "string").alias("text")).join(F.broadcast(chosen), "_id")
-    return one.groupBy("text").agg(F.max("y").alias("y"), F.min("_id").alias("_id")).orderBy("_id", "text").select("text", "y")
+    marks = one.select(F.xxhash64("_id", "text").alias("_m"), "text", "y").groupBy("_m", "text").agg(F.max("y").alias("y")).groupBy("text").agg(F.max("y").alias("y"), F.min("_m").alias("_m"))
+    return marks.orderBy("_m", "text").limit(sample).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:

@@ -63,3 +63,41 @@ def test_keep_returns_the_columns(spark, awkward, tmp_path):
 
 def test_words_rule():
     assert "A-b é2_c".encode().translate(WORDS).split() == [b"a", b"b", "é2".encode(), b"c"]
+
+
+def test_no_small_change_lowers_the_loss():
+    """The fitted weights and cuts against the loss written out plainly, changed one by one."""
+    rng = np.random.default_rng(3)
+    rows = [np.array([7] * int(rng.integers(0, 2)) + [9] * int(rng.integers(0, 3)), np.int32) for _ in range(900)]
+    grades = np.array([min(2, max(0, int(round((r == 7).sum() * 0.8 + (r == 9).sum() * 0.7 + rng.normal(0, 0.6))))) for r in rows])
+    model = T.fit_ordinal(rows, grades, steps=3000)
+
+    def loss(w7, w9, c0, c1):
+        s = np.array([w7 * (r == 7).sum() + w9 * (r == 9).sum() for r in rows])
+        upto = [1 / (1 + np.exp(-(c - s))) for c in (c0, c1)]
+        p = np.stack([upto[0], upto[1] - upto[0], 1 - upto[1]], axis=1)[np.arange(len(rows)), grades]
+        return -np.log(p).mean() + 0.5 * 5e-5 * (w7**2 + w9**2)
+
+    at = [model.weights[7], model.weights[9], *model.cuts]
+    for k in range(4):
+        for d in (-0.1, 0.1):
+            assert loss(*[x + d * (k == j) for j, x in enumerate(at)]) > loss(*at) - 1e-5
+
+
+def test_query(spark, data):
+    """Every row scored, as a plain loop over its different words scores it."""
+    docs, labels = read(spark, data, "documents"), read(spark, data, "labels")
+    model = T.fit(docs, labels)
+    got = {r.doc_id: (r.severity, r.toxic) for r in T.op1_toxicity(spark, data).collect()}
+    for r in docs.collect():
+        s = sum(model.weights[f] for w in set((r.text or "").encode().translate(WORDS).split()) for f in word_features(w))
+        p = [1 / (1 + np.exp(c - s)) for c in model.cuts]
+        assert abs(got[r.doc_id][0] - sum(p)) < 1e-9 and got[r.doc_id][1] == (p[0] >= 0.5)
+    assert len(got) == docs.count()
+
+
+def test_the_sample_is_a_bound(spark):
+    """An id with many texts gives no more rows than the sample."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "same")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert T.labelled(docs, labels, "toxic", 20).count() == 20 and T.labelled(docs, labels, "toxic", 1000).count() == 501
