@@ -63,3 +63,41 @@ def budget(small: tuple[float, float], large: tuple[float, float], memory: float
     if slope <= 0:
         raise ValueError("memory doesn't grow with pixels")
     return max(0, int((memory * (1 - reserve) - (small[1] - slope * small[0])) / slope))
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """Brightness of a colour by the weights of the television standard."""
+    return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def readable(ink: list[Column], paper: list[Column], least: float = 60.0) -> Column:
+    """Ink and paper differ enough in brightness."""
+    return F.abs(luminance(*ink) - luminance(*paper)) > least
+
+
+def first_readable(draws: Column, least: float = 60.0, tries: int = 5) -> Column:
+    """The first of some draws (ink r, g, b; paper r, g, b) that is readable, else the last one tried."""
+    some = F.slice(draws, 1, tries)
+    good = F.filter(some, lambda d: readable([d["ir"], d["ig"], d["ib"]], [d["pr"], d["pg"], d["pb"]], least))
+    return F.coalesce(F.get(good, 0), F.element_at(some, -1))
+
+
+def linear(v: Column) -> Column:
+    """Light of a channel value from 0 to 1, by the sRGB curve."""
+    return F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, F.lit(2.4))).otherwise(v / 12.92)
+
+
+def lightness_and_a(r: Column, g: Column, b: Column) -> Column:
+    """(l, a) bytes of a pixel: lightness, and the green to red axis, of CIE L*a*b*, cut to whole numbers. Weights and white point are those of the standards."""
+    x, y, z = (linear(c.cast("double") / 255) for c in (r, g, b))
+    cx = (0.4124564 * x + 0.3575761 * y + 0.1804375 * z) / 0.95047
+    cy = 0.2126729 * x + 0.7151522 * y + 0.0721750 * z
+    root = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    byte = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v))).cast("int")
+    return F.struct(byte((116 * root(cy) - 16) / 100 * 255).alias("l"), byte((500 * (root(cx) - root(cy)) + 128) / 255 * 255).alias("a"))
+
+
+def input_width(width: Column, height: Column, to: int = 32, multiple: int = 4) -> Column:
+    """Width of a crop scaled to a height, at least `multiple`, raised to a multiple of it."""
+    scaled = F.greatest(F.lit(multiple), F.floor(width * to / height).cast("int"))
+    return (F.floor((scaled + multiple - 1) / multiple) * multiple).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import codecs as K
+from corpusloom.functions import scripts as S
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus as C
 from corpusloom.sources.tables import table
@@ -15,6 +16,8 @@ _GAPS = r"\s\x0b\d[:punct:]\x{00a0}\x{00a1}\x{00ab}\x{00bb}\x{00bf}\x{200b}-\x{2
 _WORDS = f"unnest(list_filter(regexp_split_to_array(text, '[{_GAPS}]+'), lambda w: length(w) BETWEEN 2 AND 15))"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CHARS = "regexp_extract_all(text, '(?s).')"
+_LATIN = S.members(S.SCRIPTS["latin"])
+_SCRIPTS = ", ".join(f"('{name}', '[{S.members(S.without(ranges))}]')" for name, ranges in S.SCRIPTS.items())
 _VOCAB = f"v AS (SELECT row_number() OVER (ORDER BY c) AS token_id, c FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[{_LETTERS}]')) AS c FROM documents))"
 _PAIRS = "SELECT substring(word, i, 2) AS pair FROM (SELECT word, unnest(range(1, length(word))) AS i FROM w)"
 
@@ -26,8 +29,8 @@ def word_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 75 most frequent character pairs inside words of each language."""
-    pairs = T.word_rows(table(spark, sf_dir, "documents"), "lang").select("lang", F.explode(T.bigrams(F.col("word"))).alias("pair"))
-    return C.top_by(C.count_by(pairs, "lang", "pair"), "lang", "pair", 75)
+    words = C.count_by(T.word_rows(table(spark, sf_dir, "documents"), "lang"), "lang", "word")
+    return C.top_by(C.pair_counts(words, "lang"), "lang", "pair", 75)
 
 
 def char_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def decode_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts cut from left to right into the 75 most frequent pairs of documents' words and single characters."""
-    pairs = C.count_by(T.word_rows(table(spark, sf_dir, "documents")).select(F.explode(T.bigrams(F.col("word"))).alias("pair")), "pair")
+    pairs = C.pair_counts(C.count_by(T.word_rows(table(spark, sf_dir, "documents")), "word"))
     best = [r["pair"] for r in pairs.orderBy(F.desc("n"), "pair").limit(75).collect()]
     tokens = K.greedy_bigrams(F.col("text"), best)
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, "|").alias("tokens"))
@@ -95,8 +98,8 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rare_char_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 rarest letters with the 5 most frequent, in both orders, where no word has the pair."""
-    words = T.word_rows(table(spark, sf_dir, "documents"))
-    chars = C.count_by(words.select(F.explode(T.chars(F.col("word"))).alias("char")), "char")
+    words = C.count_by(T.word_rows(table(spark, sf_dir, "documents")), "word")
+    chars = C.char_counts(words)
     known = words.select(F.explode(T.bigrams(F.col("word"))).alias("pair")).distinct()
     return C.pairings(chars.orderBy("n", "char").limit(10), chars.orderBy(F.desc("n"), "char").limit(5), known)
 
@@ -129,7 +132,7 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of 2 to 15 characters of list links, and the pages that hold them."""
+    """Contents of 2 to 15 characters of list links (these pages have no tables; see table_cells), and the pages that hold them."""
     cells = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(">([^<>]{2,15})</a>"), F.lit(1)))).alias("cell"))
     return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_pages"))
 
@@ -160,14 +163,14 @@ SQL = {
     "encode_chars": f"WITH {_VOCAB}, m AS (SELECT map_from_entries(list((c, token_id))) AS ids FROM v) SELECT doc_id, array_to_string(list_filter(list_transform({_CHARS}, lambda c: ids[c]), lambda i: i IS NOT NULL), ' ') AS ids FROM documents, m",
     "decode_chars": f"SELECT doc_id, array_to_string(regexp_extract_all(text, '[{_LETTERS}]'), '') AS decoded FROM documents",
     "encode_bigrams": f"WITH {_W}, t AS (SELECT pair, count(*) AS n FROM ({_PAIRS}) GROUP BY pair ORDER BY n DESC, pair LIMIT 75), r AS (SELECT '(?s)(' || string_agg(pair, '|' ORDER BY n DESC, pair) || '|.)' AS rule FROM t), e AS (SELECT item_id, regexp_extract_all(text, rule) AS tokens FROM benchmark, r) SELECT item_id, len(tokens) AS n_tokens, array_to_string(tokens, '|') AS tokens FROM e",
-    "script_detect": "WITH s(script, cls) AS (VALUES ('latin', '[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]'), ('greek', '[Ͱ-Ͽἀ-῿]'), ('cyrillic', '[Ѐ-ԯ]'), ('hebrew', '[\\x{0590}-\\x{05FF}]'), ('arabic', '[\\x{0600}-\\x{06FF}]'), ('han', '[㐀-䶿一-鿿]')), n AS (SELECT doc_id, script, length(regexp_replace(text, cls, '', 'g')) - length(text) AS less FROM documents, s) SELECT doc_id, CASE WHEN min(less) < 0 THEN arg_min(script, less) ELSE 'latin' END AS script FROM n GROUP BY doc_id",
-    "script_words": f"WITH {_W} SELECT lang, count(*) AS words, count(*) FILTER (WHERE regexp_matches(word, '[A-Za-zÀ-ÖØ-öø-ɏ]') AND NOT regexp_matches(regexp_replace(word, '[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]', '', 'g'), '\\p{{L}}')) AS latin_words FROM w GROUP BY lang",
+    "script_detect": f"WITH s(script, cls) AS (VALUES {_SCRIPTS}), n AS (SELECT doc_id, script, length(regexp_replace(text, cls, '', 'g')) - length(text) AS less FROM documents, s) SELECT doc_id, CASE WHEN min(less) < 0 THEN arg_min(script, less) ELSE 'latin' END AS script FROM n GROUP BY doc_id",
+    "script_words": f"WITH {_W} SELECT lang, count(*) AS words, count(*) FILTER (WHERE regexp_matches(word, '[{_LATIN}]') AND NOT regexp_matches(regexp_replace(word, '[{_LATIN}]', '', 'g'), '\\p{{L}}')) AS latin_words FROM w GROUP BY lang",
     "new_words_antijoin": f"WITH {_W} SELECT DISTINCT word FROM bw WHERE word NOT IN (SELECT word FROM w)",
     "word_list_upsert": f"WITH {_W}, c AS (SELECT word, count(*) AS n FROM w GROUP BY word), e AS (SELECT DISTINCT word FROM bw) SELECT coalesce(e.word, c.word) AS word, coalesce(n, 0) AS n FROM e FULL OUTER JOIN c ON e.word = c.word",
     "coverage_report": f"WITH {_W}, c AS (SELECT word, count(*) AS n FROM w GROUP BY word), u AS (SELECT n FROM (SELECT DISTINCT word FROM bw) LEFT JOIN c USING (word)) SELECT count(*) AS universe, count(n) AS covered, round(100.0 * count(n) / greatest(count(*), 1), 4) AS percent, min(n) AS least, list_sort(list(n) FILTER (WHERE n IS NOT NULL))[count(n) // 2 + 1] AS median, count(*) FILTER (WHERE n = 1) AS once, count(*) FILTER (WHERE n >= 5) AS five_or_more FROM u",
     "rare_char_pairs": f"WITH {_W}, k AS (SELECT char, count(*) AS n FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS char FROM w) GROUP BY char), r AS (SELECT char FROM k ORDER BY n, char LIMIT 10), p AS (SELECT char FROM k ORDER BY n DESC, char LIMIT 5) SELECT DISTINCT pair FROM (SELECT unnest([r.char || p.char, p.char || r.char]) AS pair FROM r, p) WHERE pair NOT IN ({_PAIRS})",
     "label_charset_issues": f"SELECT lang, char, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(text, '[^\\x00-\\x7F{_LETTERS}]')) AS char FROM documents) GROUP BY lang, char",
-    "word_list_quality": f"WITH {_W} SELECT lang, count(*) AS words, count(DISTINCT word) AS distinct_words, round(1 - count(DISTINCT word) / count(*), 6) AS repeat_share, count(*) FILTER (WHERE length(word) NOT BETWEEN 1 AND 50) AS bad_length, count(*) FILTER (WHERE regexp_matches(word, '^\\d')) AS digit_first, count(*) FILTER (WHERE NOT regexp_matches(word, '[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]')) AS no_letter FROM w GROUP BY lang",
+    "word_list_quality": f"WITH {_W} SELECT lang, count(*) AS words, count(DISTINCT word) AS distinct_words, round(1 - count(DISTINCT word) / count(*), 6) AS repeat_share, count(*) FILTER (WHERE length(word) NOT BETWEEN 1 AND 50) AS bad_length, count(*) FILTER (WHERE regexp_matches(word, '^\\d')) AS digit_first, count(*) FILTER (WHERE NOT regexp_matches(word, '[{_LATIN}]')) AS no_letter FROM w GROUP BY lang",
     "ordered_dedupe": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), d AS (SELECT doc_id, x, list_filter(x, lambda v, i: list_position(x, v) = i) AS y FROM l) SELECT doc_id, len(x) AS n_lines, len(y) AS n_distinct, array_to_string(y, chr(10)) AS deduped FROM d",
     "spell_candidates": f"WITH {_W}, q AS (SELECT DISTINCT word FROM bw WHERE regexp_full_match(word, '[a-z]{{3,15}}')), d AS (SELECT DISTINCT word AS entry FROM w WHERE regexp_full_match(word, '[a-z]{{3,15}}')), m AS (SELECT word, entry, levenshtein(word, entry) AS distance FROM q JOIN d ON abs(length(word) - length(entry)) <= 1 AND levenshtein(word, entry) <= 1) SELECT word, best, distance::INTEGER AS distance FROM (SELECT word, entry AS best, distance, row_number() OVER (PARTITION BY word ORDER BY distance, entry) AS r FROM m) WHERE r = 1",
     "html_strip": "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages",

@@ -22,7 +22,7 @@ def hierarchy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's quality label, or -1."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    return L.looked_up(table(spark, sf_dir, "documents").select("doc_id"), labels, "doc_id", "quality", -1)
 
 
 def covering_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,9 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fusion_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary of 400: all letters in order, then the most frequent pairs of letters inside words."""
     words = T.word_rows(table(spark, sf_dir, "documents"))
-    base = words.select(F.explode(F.array_distinct(T.chars(F.col("word")))).alias("token")).distinct().select("token", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"))
-    pairs = C.count_by(words.select(F.explode(T.bigrams(F.col("word"))).alias("token")), "token").select("token", F.lit(1).alias("kind"), "n")
+    words = C.count_by(words, "word")
+    base = C.char_counts(words).select(F.col("char").alias("token"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"))
+    pairs = C.pair_counts(words).select(F.col("pair").alias("token"), F.lit(1).alias("kind"), "n")
     best = base.union(pairs).orderBy("kind", F.desc("n"), "token").limit(399)
     from pyspark.sql import Window
 
@@ -99,7 +100,7 @@ def conditional_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of page titles, and pages that have them."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    parts = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split(title, "[ ,.]+")).alias("part")).filter("part <> ''")
+    parts = table(spark, sf_dir, "pages").select("page_id", F.explode(T.title_parts(title)).alias("part"))
     return parts.groupBy("part").agg(F.count_distinct("page_id").alias("n_pages"))
 
 
@@ -126,6 +127,6 @@ SQL = {
     "vector_contrast": "WITH c AS (SELECT vec_id, embedding, list_sort([embedding[1], embedding[2], embedding[-2], embedding[-1]]) AS k FROM embeddings) SELECT vec_id, len(list_filter(embedding, lambda x: abs(x::DOUBLE - (k[2]::DOUBLE + k[3]::DOUBLE) / 2) > 0.1))::BIGINT AS n FROM c",
     "mean_of_means": "SELECT round(avg(m), 4) AS mean FROM (SELECT lang, avg(m) AS m FROM (SELECT lang, source, avg(n_chars) AS m FROM documents GROUP BY lang, source) GROUP BY lang)",
     "conditional_accuracy": "SELECT lang, count(*) AS n, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS clean FROM labels JOIN documents USING (doc_id) WHERE (n_chars > 2000)::INTEGER = quality GROUP BY lang",
-    "title_parts": "SELECT part, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_split_to_array(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ ,.]+')) AS part FROM pages) WHERE part <> '' GROUP BY part",
+    "title_parts": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\([^()]*\)', '', 'g')) AS title FROM pages) SELECT part, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(list_prepend(title, regexp_split_to_array(title, '[\p{Pd}/·,、\s]+'))) AS part FROM t) WHERE part <> '' GROUP BY part",
     "merged_words": f"WITH {_W}, cw AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[\\s\\x0b\\d[:punct:]\\x{{00a0}}\\x{{00a1}}\\x{{00ab}}\\x{{00bb}}\\x{{00bf}}\\x{{200b}}-\\x{{200d}}\\x{{2010}}-\\x{{2027}}]+'), lambda w: length(w) BETWEEN 2 AND 15)) AS word FROM conversations) SELECT word, count(*) AS tables FROM (SELECT DISTINCT word FROM w UNION ALL SELECT DISTINCT word FROM bw UNION ALL SELECT DISTINCT word FROM cw) GROUP BY word",
 }

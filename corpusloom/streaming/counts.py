@@ -4,17 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; where none is set (tests), a temporary one."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-stream-")
+from corpusloom.operators.ordering import shared_folder
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, value: str, width: str, late: str) -> DataFrame:
@@ -32,7 +26,7 @@ def drained(counts: DataFrame, keys: list[str]) -> DataFrame:
     Every micro-batch writes its updates with its number to the shared folder, so a repeated batch overwrites itself.
     """
     spark = counts.sparkSession
-    place = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")

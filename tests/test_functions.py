@@ -23,7 +23,7 @@ def test_bigrams(spark):
     assert values(spark, ["abc", "a", "", "안녕a"], "string", T.bigrams) == [["ab", "bc"], [], [], ["안녕", "녕a"]]
 
 
-@pytest.mark.parametrize("text,script", [("hello", "latin"), ("привет x", "cyrillic"), ("ab नमस्ते", "devanagari"), ("ひら漢", "kana"), ("123 !", "latin"), ("αβ ab", "greek"), ("ab αβ", "latin"), ("한국어", "hangul"), (None, "latin")])
+@pytest.mark.parametrize("text,script", [("hello", "latin"), ("привет x", "cyrillic"), ("ab नमस्ते", "devanagari"), ("ひら漢", "han_kana"), ("123 !", "latin"), ("αβ ab", "greek"), ("ab αβ", "latin"), ("한국어", "korean"), ("ab 12 తె", "latin"), ("తెలుగు", "telugu"), ("ភាសា x", "khmer"), ("[]{}^ ", "latin"), ("😀a😀", "emoji"), (None, "latin")])
 def test_script(spark, text, script):
     assert values(spark, [text], "string", T.script) == [script]
 

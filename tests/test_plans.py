@@ -28,7 +28,12 @@ def test_sums_are_partial(spark, data):
         assert "partial_" in plan(spark, data, name), name
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - {"extra_event_stream"}))
+#: Queries with Arrow functions: normal forms, grapheme clusters, and two folds over a few rows.
+PYTHON = {"codec_roundtrip", "codec_failures", "codec_numbers", "hangul_codec", "cluster_counts", "cluster_rate", "padded_labels", "budget_packing", "greedy_slots", "similar_slots"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - {"extra_event_stream", "shard_roundtrip"}))
 def test_no_python_and_no_pairing(spark, data, name):
     text = plan(spark, data, name)
-    assert not re.search("Python|Pandas|ArrowEval|CartesianProduct", text)
+    assert "CartesianProduct" not in text
+    assert bool(re.search("Python|Pandas|ArrowEval", text)) == (name in PYTHON)
