@@ -21,6 +21,28 @@ def encode_chars(c: Column, ids: Column) -> Column:
     return F.filter(F.transform(T.chars(c), lambda t: F.get(ids, F.ascii(t))), lambda i: i.isNotNull())
 
 
+def char_numbers(ids: dict[str, int]):
+    """A function of a text column: the numbers of its known characters joined by spaces, looked up for a whole text at once."""
+    import numpy as np
+
+    @F.pandas_udf(StringType())
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = np.full(1 + max(map(ord, ids), default=0), "", object)
+        for c, i in ids.items():
+            names[ord(c)] = str(i)
+
+        def one(x: str | None) -> str | None:
+            if x is None:
+                return None
+            points = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+            return " ".join(filter(None, names[points[points < len(names)]].tolist()))
+
+        for t in texts:
+            yield t.map(one)
+
+    return encode
+
+
 def decode(numbers: Column, tokens: Column) -> Column:
     """Text of token numbers by an array column whose first entry is number 1; 0 and numbers out of range give nothing."""
     return F.array_join(F.transform(F.filter(numbers, lambda i: (i > 0) & (i <= F.size(tokens))), lambda i: F.element_at(tokens, i)), "")

@@ -51,8 +51,8 @@ def vocab_char_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of each document's letters, joined by spaces; other characters are dropped."""
-    ids = C.by_code(letters(spark, sf_dir), "c", "token_id")
-    return table(spark, sf_dir, "documents").crossJoin(F.broadcast(ids)).select("doc_id", F.array_join(K.encode_chars(F.col("text"), F.col("ids")).cast("array<string>"), " ").alias("ids"))
+    ids = {r["c"]: r["token_id"] for r in letters(spark, sf_dir).collect()}  # a vocabulary: letters of one script
+    return table(spark, sf_dir, "documents").select("doc_id", K.char_numbers(ids)(F.col("text")).alias("ids"))
 
 
 def decode_chars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,15 @@ CLUSTER_FREQ = "cluster STRING, count BIGINT, cp_len INT"
 MAPPING = "char STRING, slot INT, match STRING, score DOUBLE"
 
 
+#: Tables of long rows, whose work is in each row: dealt to all cores where there are few files, with one row group each perhaps, and no more splits than cores.
+LONG = frozenset(("documents", "pages"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input folder."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in LONG and df.rdd.getNumPartitions() <= cores and 4 * len(df.inputFiles()) <= cores
+    return df.repartition(cores) if few else df
 
 
 def word_list(spark: SparkSession, *paths: str) -> DataFrame:
