@@ -10,7 +10,8 @@ in front of its first character, so `unescape(escape(t)) == t` and no text can c
 
 Null texts are empty; a null role is the role "". Rows of a conversation are ordered by (turn, role, text), so ties have one order,
 and repeated rows are turns of their own. Null conv_id is a conversation of its own. Empty tables give no
-rows. Other columns are ignored. A conversation is one row of the result, as formatting is of one text each.
+rows. Other columns are ignored, whatever their names. Very long texts and conversations are formatted whole: one conversation, or all
+rows of a null conv_id, is held by one task, as its format is one text. A conversation is one row of the result, as formatting is of one text each.
 """
 
 from __future__ import annotations

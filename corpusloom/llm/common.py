@@ -35,10 +35,16 @@ def bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Tables of long rows, whose work is in each row: dealt to all cores where there are few files, with one row group each perhaps, and no more splits than cores.
+LONG = frozenset(("documents", "pages", "conversations"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the input folder."""
     bounded(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    few = table in LONG and df.rdd.getNumPartitions() <= cores and 4 * len(df.inputFiles()) <= cores
+    return df.repartition(cores) if few else df
 
 
 def column(df: DataFrame, name: str, kind: str):
@@ -101,12 +107,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders that written() has made in this process, in order.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Empty folders that written() has made, once nothing reads them any more."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    none = spark.createDataFrame([], "gone int").coalesce(1)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda path: none.write.mode("overwrite").parquet(path), folders))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """The rows, written once to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    Queries that are read after they return can't delete what they are read from; corpus_pipeline.run() empties what a
+    stage wrote when the stage's result is written. The rest is for whoever owns the shared folder to clean.
+    """
     import uuid
 
     spark = df.sparkSession
     bounded(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,9 @@ which quartile of the bucket counts its count falls in (2 bits), a checksum byte
 the ratios of the quartiles. Two digests are compared by a bounded difference: 0 for equal digests, 1 at most.
 
 A text of fewer than three bytes has no triplets: all counts are 0, its checksum alone tells it apart.
-Null is the empty text. Equal texts have equal digests. Long texts are counted whole, in pieces.
+Null is the empty text. Equal texts have equal digests. Long texts are counted whole, in pieces. Rows without an id come first, in
+order of their texts (the id -2^63+1 stands for none); rows of one id are ordered by text, equal rows follow each other. An empty table gives no rows.
+Extra columns are ignored, whatever their names. Rows of one id share a bucket, which is read as a stream of one row.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ Texts (A-Z in lower case) become sets of hashed shingles of `width` words; two s
 
 A text of fewer words than `width` has its whole word sequence as one shingle; one without words or null has an empty
 set and links with nothing. Repeated rows and repeated ids are kept, a row each. A null doc_id counts
-as the lowest id and is returned as null. An empty table gives no rows. Extra columns are ignored.
+as the lowest id and is returned as null (the id -2^63+1 stands for it). Words and texts of any length are hashed whole. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import UPPER, bounded, column, own, read, set_aside, sigmoid, texts
-from corpusloom.llm.hashed import SPACE, Adam, memoised
+from corpusloom.llm.hashed import KEPT, SPACE, Adam, memoised
 
 #: Documents that train the scorer, at most.
 SAMPLE = 5000
@@ -164,6 +164,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        known: dict[bytes, tuple[int, ...]] = {}
+
+        def features(token: bytes) -> tuple[int, ...]:
+            if (f := known.get(token)) is None:
+                if len(known) >= KEPT:
+                    known.clear()
+                f = known[token] = token_features(token)
+            return f
+
         for batch in batches:
             out: dict[str, list] = {"mark": [], "tokens": [], "own": [], "votes": []}
             for mark, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
@@ -171,7 +180,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray,
                     seen.add(mark)
                     tokens, x = statistics(t)
                     out["mark"].append(mark)
-                    out["tokens"].append(np.fromiter((f for w in tokens for f in token_features(w)), np.int32).tobytes())
+                    out["tokens"].append(np.fromiter((f for w in tokens for f in features(w)), np.int32).tobytes())
                     out["own"].append(buckets(x))
                     out["votes"].append(list(votes(len(tokens), x)))
             yield pa.record_batch({"mark": pa.array(out["mark"], pa.int64()), "tokens": pa.array(out["tokens"], pa.binary()), "own": pa.array(out["own"], pa.list_(pa.int32())), "votes": pa.array(out["votes"], pa.list_(pa.int32()))})

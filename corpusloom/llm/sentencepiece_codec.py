@@ -3,14 +3,14 @@
 A text gets one space in front, spaces become U+2581, and it falls into words: marks of space and what follows
 up to the next such mark, a line feed alone. No piece crosses these borders, so the best path of a text is the
 best paths of its words. Different words of equal length advance together: for each substring length, hashes
-of all substrings probe the sorted keys of the pieces, and for each end position one maximum over the lengths
+of all substrings probe the sorted keys of the pieces (their low bits choose a place in a direct table over the sorted keys, which answers most probes at once), and for each end position one maximum over the lengths
 stores the backpointer. Equal sums go to the longer last piece. A character without a piece becomes the pieces
 of its UTF-8 bytes; so does U+2581 where the text itself holds it, which keeps decoding exact.
 
 The path has the greatest sum of scores. For a file whose scores are merge ranks, that is the unigram
 reading of its vocabulary, not the order of merges.
 
-Null is the empty text, which has no pieces. Any text, however long, is encoded whole: decode(encode(t)) == t.
+Null is the empty text, which has no pieces. An empty table gives no rows; columns named like the added ones are replaced. Any text, however long, is encoded whole: decode(encode(t)) == t.
 Rows keep their other columns; repeated rows are encoded alike.
 """
 

@@ -4,7 +4,7 @@ The corpus is reduced to (length, documents) once; every question on context lim
 from that histogram. Suffix sums run inside blocks of lengths and over the block totals, so that no
 task meets more than one block or one row per block, however many different lengths there are.
 
-Nulls and empty texts have length 0. Repeated rows count each time. An empty table gives no rows.
+Nulls and empty texts have length 0. Very long texts are encoded whole. Repeated rows count each time. An empty table gives no rows.
 Other columns of the input are ignored.
 """
 
