@@ -130,7 +130,7 @@ def pairs_to_samples(pairs: DataFrame, first: int = 0) -> DataFrame:
     """
     total = pairs.filter("key = 'num-samples'").select(F.col("value").cast("string").cast("long").alias("total"))
     parts = pairs.select(F.regexp_extract("key", "^(image|label)-", 1).alias("kind"), F.regexp_extract("key", "-([0-9]{9})$", 1).alias("idx"), "value").filter("kind <> '' AND idx <> ''")
-    whole = parts.groupBy(F.col("idx").cast("long").alias("idx")).agg(F.max(F.when(F.col("kind") == "image", F.col("value"))).alias("image"), F.max(F.when(F.col("kind") == "label", F.col("value"))).cast("string").alias("label"))
+    whole = parts.groupBy(F.col("idx").try_cast("long").alias("idx")).agg(F.max(F.when(F.col("kind") == "image", F.col("value"))).alias("image"), F.max(F.when(F.col("kind") == "label", F.col("value"))).cast("string").alias("label"))
     return whole.join(F.broadcast(total), (F.col("idx") >= first) & (F.col("idx") < F.col("total") + first)).filter("image IS NOT NULL").select("idx", "image", "label")
 
 

@@ -64,3 +64,52 @@ def test_stream_of_words(spark, tmp_path):
         spark.createDataFrame([(t,) for t in texts], "text string").write.mode("append").parquet(docs)
         counts.append_new_words(spark.readStream.schema("text string").parquet(docs), str(tmp_path / "out"), str(tmp_path / "state"))
     assert words(spark.read.parquet(str(tmp_path / "out"))) == ["ab", "cd", "ef"]
+
+
+def test_chunks_are_replaced_and_read_flat_or_by_chunk(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [(i, "val" if i % 5 == 0 else "train", i // 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, split string, chunk int")
+    S.write_chunks(df, path, 3)
+    S.write_chunks(df.filter("chunk = 1"), path, 3)
+    assert sorted(r.id for r in S.read_shards(spark, path, "train").collect()) == [i for i in range(40) if i % 5]
+    flat = str(tmp_path / "flat")
+    S.write_shards(df.drop("chunk"), flat, 3)
+    assert S.read_shards(spark, flat, "val").columns == ["id"] and S.read_shards(spark, flat, "val").count() == 8
+
+
+def test_shard_files(spark, tmp_path):
+    for n in ("real_2.bin", "shard_b.bin", "sub/shard_a.bin", "char_shard_1.bin", "other.bin"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_bytes(b"x")
+    got = [r.path.rsplit("/", 1)[1] for r in S.shard_files(spark, str(tmp_path)).collect()]
+    assert sorted(got[:2]) == ["shard_a.bin", "shard_b.bin"] and got[2:] == ["char_shard_1.bin", "real_2.bin"]
+
+
+def test_vocabulary_file(spark, tmp_path):
+    tokens = ["∅", "a", '"', "é\n", "th"]
+    S.save_vocabulary(spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "token_id int, token string").repartition(3), str(tmp_path / "v"))
+    assert [(r.token_id, r.token) for r in S.load_vocabulary(spark, str(tmp_path / "v")).orderBy("token_id").collect()] == list(enumerate(tokens))
+
+
+def test_labels_csv(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('a.png,one\nb.png,"two, three"\nlonely\nc.png,\nd.png,' + "x" * 30 + "\n")
+    assert sorted(map(tuple, S.labels_csv(spark, str(tmp_path / "l.csv")).collect())) == [("a.png", "one"), ("b.png", "two, three")]
+
+
+def test_label_words(spark):
+    df = spark.createDataFrame([("  ab  cd ",), ("",), (None,), ("x" * 30,)], "label string")
+    assert [r.word for r in S.label_words(df).collect()] == ["ab", "cd"]
+
+
+def test_readings(spark, tmp_path):
+    (tmp_path / "u.txt").write_text("# c\nU+4E00\tkMandarin\tyī\nU+4E00\tkOther\tx\nU+20000\tkMandarin\thē\nU+4E00\tkCantonese\tjat1\n")
+    got = {r.char: [(x.field, x.value) for x in r.readings] for r in S.unihan_readings(spark, str(tmp_path / "u.txt"), ["kMandarin", "kCantonese"]).collect()}
+    assert got == {"一": [("kCantonese", "jat1"), ("kMandarin", "yī")], "\U00020000": [("kMandarin", "hē")]}
+
+
+def test_store_round_trip(spark):
+    rows = [(1, bytearray(b"i1"), "eins"), (2, bytearray(b"i2"), "zwei")]
+    pairs = S.samples_to_pairs(spark.createDataFrame(rows, "idx long, image binary, label string"))
+    assert sorted(map(tuple, S.pairs_to_samples(pairs, 1).collect())) == rows
+    assert [r.idx for r in S.pairs_to_samples(pairs, 0).collect()] == [1]
