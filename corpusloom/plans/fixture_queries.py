@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import codecs as K
 from corpusloom.functions import images as I
+from corpusloom.functions import registry as G
 from corpusloom.functions import scripts as S
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus as C
@@ -14,7 +15,8 @@ from corpusloom.operators import lookup as L
 from corpusloom.operators import ordering as O
 from corpusloom.operators import planning as P
 from corpusloom.operators import scoring as R
-from corpusloom.plans.corpus_queries import _W
+from corpusloom.operators import vocabulary as V
+from corpusloom.plans.corpus_queries import _GAPS, _W
 from corpusloom.sources import tables as B
 
 _KINDS = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -435,6 +437,28 @@ def spell_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.correction_counts(_corrected(spark, sf_dir))
 
 
+def counted_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blank, printable ASCII, and the 75 most frequent pairs of ASCII letters and digits in documents."""
+    return V.counted(C.count_by(T.word_rows(B.table(spark, sf_dir, "documents")), "word"), "A-Za-z0-9")
+
+
+def grown_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents and conversations that a list of the benchmark's words lacks."""
+    return V.grown([T.word_rows(B.table(spark, sf_dir, t)) for t in ("documents", "conversations")], T.word_rows(B.table(spark, sf_dir, "benchmark")))
+
+
+def filler_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up words of each script that a new list would get."""
+    return V.grow_lists(L.filler_words(spark, FILLED), f"{O.shared_folder(spark)}/no-list-here", lambda *_: None, dry=True)
+
+
+def named_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions picked by name, applied in turn, and one called from SQL text."""
+    G.to_sql(spark)
+    rows = RUNNING.frame(spark).select("id", G.applied(F.col("text"), ["without_tags", "clean_word"]).alias("clean"))
+    return rows.select("id", "clean", F.expr("corpus_nfc(clean)").alias("form"))
+
+
 def _draw(salt: str, n: int) -> str:
     """drawn() of a column `word` in SQL."""
     h = f"md5(word || ':{salt}')"
@@ -540,6 +564,10 @@ SQL = {
     "readable_inks": f"WITH {INKS.sql('i')} SELECT id, abs(0.299 * ir + 0.587 * ig + 0.114 * ib - 0.299 * pr - 0.587 * pg - 0.114 * pb) > 60 AS readable FROM i",
     "filler_words": "WITH s(script, c, v, j) AS (VALUES " + ", ".join(f"('{k}', {list(c)!r}, {list(v)!r}, '{j}')" for k, (c, v, j) in FILLED.items()) + ") SELECT DISTINCT script, word FROM (SELECT script, unnest(c) || v2 AS word FROM (SELECT script, c, unnest(v) AS v2 FROM s) UNION ALL SELECT script, a || j || unnest(c[1:5]) FROM (SELECT script, c, j, unnest(c[1:10]) AS a FROM s) UNION ALL SELECT script, c[1] || unnest(v) || c[2] FROM s)",
     "mixed_marks": f"WITH {_W} SELECT word, {_mixed_sql(L.MIXES | L.LATIN_MIXES)} AS mixed, {_mixed_sql(L.MIXES)} AS mixed_any FROM (SELECT DISTINCT word FROM bw)",
+    "counted_vocabulary": f"WITH {_W}, p AS (SELECT substring(word, i, 2) AS pair FROM (SELECT word, unnest(range(1, length(word))) AS i FROM w)), b AS (SELECT pair, row_number() OVER (ORDER BY n DESC, pair) AS k FROM (SELECT pair, count(*) AS n FROM p WHERE regexp_full_match(pair, '[A-Za-z0-9]{{2}}') GROUP BY pair)) SELECT 0 AS token_id, '∅' AS token UNION ALL SELECT i::INTEGER, chr((31 + i)::INTEGER) FROM range(1, 96) t(i) UNION ALL SELECT (95 + k)::INTEGER, pair FROM b WHERE k <= 75",
+    "grown_list": f"WITH {_W}, cw AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[{_GAPS}]+'), lambda w: length(w) BETWEEN 2 AND 15)) AS word FROM conversations) SELECT DISTINCT word FROM (SELECT word FROM w UNION ALL SELECT word FROM cw) WHERE word NOT IN (SELECT word FROM bw)",
+    "filler_growth": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {len({x + y for x in c for y in v} | {x + j + y for x in c[:10] for y in c[:5]} | {c[0] + y + c[1] for y in v})}::BIGINT)" for k, (c, v, j) in FILLED.items()) + ") t(script, added)",
+    "named_functions": f"SELECT *, clean AS form FROM (VALUES (1, 'Привет», мир! hello (мир-труд) 12 мир'), (2, {_literal(RUNNING.rows[1][1])}), (3, ''), (4, 'да\" ''нет'' #тег#')) t(id, clean)",
     "spell_correct": f"WITH {_SPELL} SELECT text, confidence, result, corrected FROM r",
     "spell_counters": f"WITH {_SPELL} SELECT count(*) FILTER (WHERE corrected) AS corrected, count(*) FILTER (WHERE confidence < 0.5) AS unsure, count(*) AS total FROM r",
 }

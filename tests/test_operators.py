@@ -189,3 +189,29 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         O.shared_folder(Session)
+
+
+def test_lists_grow_once(spark, tmp_path):
+    from corpusloom.operators import vocabulary as V
+
+    path = str(tmp_path / "lists")
+    append = lambda df, where: df.write.mode("append").parquet(where)
+    words = spark.createDataFrame([("a", "xx"), ("a", "xx"), ("a", "y"), ("b", "zz")], "script string, word string")
+    assert sorted(map(tuple, V.grow_lists(words, path, append, dry=True).collect())) == [("a", 1), ("b", 1)]
+    assert sorted(map(tuple, V.grow_lists(words, path, append).collect())) == [("a", 1), ("b", 1)]
+    assert V.grow_lists(words, path, append).count() == 0 and spark.read.parquet(path).count() == 2
+
+
+def test_vocabulary(spark):
+    from corpusloom.operators import vocabulary as V
+
+    v = V.built(spark, V.script_characters("thai"), ["th", "a"])
+    tokens = [r.token for r in v.orderBy("token_id").collect()]
+    assert tokens[0] == V.BLANK and tokens[1:96] == V.ASCII and tokens[-1] == "th" and len(set(tokens)) == len(tokens) == V.size(v)
+
+
+def test_registry():
+    from corpusloom.functions import registry as G
+
+    with pytest.raises(ValueError, match="strip is registered"):
+        G.register("strip")(lambda c: c)

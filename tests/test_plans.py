@@ -29,7 +29,7 @@ def test_sums_are_partial(spark, data):
 
 
 #: Queries with Arrow functions: normal forms, grapheme clusters, and two folds over a few rows.
-PYTHON = {"encode_chars", "codec_roundtrip", "codec_failures", "codec_numbers", "hangul_codec", "cluster_counts", "cluster_rate", "padded_labels", "budget_packing", "greedy_slots", "similar_slots"}
+PYTHON = {"encode_chars", "named_functions", "codec_roundtrip", "codec_failures", "codec_numbers", "hangul_codec", "cluster_counts", "cluster_rate", "padded_labels", "budget_packing", "greedy_slots", "similar_slots"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - {"extra_event_stream", "shard_roundtrip"}))
