@@ -28,20 +28,21 @@ def memoised(weights: np.ndarray, features: Callable[[bytes], tuple[int, ...]])
     known: dict[bytes, float] = {}
     older: dict[bytes, float] = {}
 
-    def total(words) -> float:
+    def fresh(w: bytes) -> float:
         nonlocal known, older
-        s = 0.0
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = older.get(w)
-                if x is None:
-                    x = float(sum(weights[f] for f in features(w)))
-                if len(known) >= KEPT:
-                    known, older = {}, known
-                known[w] = x
-            s += x
-        return s
+        x = older.get(w)
+        if x is None:
+            x = float(sum(weights[f] for f in features(w)))
+        if len(known) >= KEPT:
+            known, older = {}, known
+        known[w] = x
+        return x
+
+    def total(words) -> float:
+        try:
+            return float(sum(map(known.get, words)))
+        except TypeError:  # a word that isn't known
+            return float(sum(x if (x := known.get(w)) is not None else fresh(w) for w in words))
 
     return total
 

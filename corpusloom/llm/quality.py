@@ -14,6 +14,7 @@ alike. An empty table gives an empty result. Extra columns pass through keep(),
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,7 +53,7 @@ def statistics(text: bytes) -> tuple[list[bytes], tuple[float, ...]]:
     letters = len(text) - len(text.translate(None, LETTERS))
     capitals = len(text) - len(text.translate(None, UPPER))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    repeats = sum(map(bytes.__eq__, tokens[1:], tokens[:-1]))
+    repeats = sum(map(operator.eq, tokens[1:], tokens))
     solid = max(1, sum(map(len, tokens)))
     return tokens, (capitals / max(1, letters), symbols / n, text.count(b"!!") / n, text.count(b" | ") / n, repeats / n, variety(tokens), solid / n, (letters + len(text) - len(text.translate(None, DIGITS))) / solid)
 
