@@ -70,6 +70,18 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 
 
+def grey_levels(r: Column, g: Column, b: Column) -> Column:
+    """Brightness of each pixel of three arrays of channel values."""
+    return F.zip_with(F.zip_with(r, g, lambda x, y: 0.299 * x + 0.587 * y), b, lambda s, z: s + 0.114 * z)
+
+
+def ink_pixels(greys: Column, width: Column, least: float = 30.0) -> Column:
+    """Pixels of a row-major picture that differ by more than `least` from the paper: the mean of the middle two of its four corners. 0 without pixels."""
+    corners = F.array_sort(F.array(*(F.get(greys, i) for i in (F.lit(0), width - 1, F.size(greys) - width, F.size(greys) - 1))))
+    paper = (F.get(corners, F.lit(1)) + F.get(corners, F.lit(2))) / 2
+    return F.when(F.size(greys) > 0, F.size(F.filter(greys, lambda x: F.abs(x - paper) > least))).otherwise(0)
+
+
 def readable(ink: list[Column], paper: list[Column], least: float = 60.0) -> Column:
     """Ink and paper differ enough in brightness."""
     return F.abs(luminance(*ink) - luminance(*paper)) > least

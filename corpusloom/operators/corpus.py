@@ -102,6 +102,13 @@ def three_part_counts(words: DataFrame, word: str = "word") -> DataFrame:
     return count_by(each, "syllable")
 
 
+def frequent_ideographs(word_counts: DataFrame, base: list[str], most: int) -> DataFrame:
+    """(char, n, rank): the most frequent ideographs of counted words (word, n) that the base lacks, for a vocabulary of `most` entries with a blank."""
+    found = word_counts.select(F.explode(F.regexp_extract_all("word", F.lit(f"[{S.HAN}]"), F.lit(0))).alias("char"), "n").groupBy("char").agg(F.sum("n").alias("n"))
+    best = found.filter(~F.col("char").isin(base)).orderBy(F.desc("n"), "char").limit(max(0, most - 1 - len(base)))
+    return best.select("char", "n", F.row_number().over(Window.orderBy(F.desc("n"), "char")).alias("rank"))
+
+
 def fusions(clusters: DataFrame, base: list[str], guaranteed: list[str], most: int) -> DataFrame:
     """(fusion, rank): what a vocabulary of `most` entries with a blank adds to its base characters: the guaranteed ones first, then clusters
     of several code points, all of the base, the most frequent first (of equals the lower)."""

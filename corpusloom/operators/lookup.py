@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scripts as S
@@ -107,6 +107,19 @@ def styled_fonts(fonts: DataFrame, script: str, path: str, kind: str, least: int
     return rows.join(F.broadcast(counts), script).filter(chosen).select(*fonts.columns)  # a row a script
 
 
+def shares_any(a: Column, b: Column) -> Column:
+    """Whether two arrays have an entry in common; false where either is null or empty."""
+    return F.coalesce(F.arrays_overlap(F.array_compact(a), F.array_compact(b)), F.lit(False))
+
+
+def combined(spark: SparkSession, *parts: list[str]) -> DataFrame:
+    """(word): every choice of one entry from each of some short lists, joined (consonants, vowels, tones)."""
+    rows = spark.range(1).select(F.lit("").alias("word"))
+    for some in parts:
+        rows = rows.select("word", F.explode(F.array(*map(F.lit, some)).cast("array<string>")).alias("part")).select(F.concat("word", "part").alias("word"))
+    return rows
+
+
 def fonts_of_chars(fonts: DataFrame, chars: DataFrame, char: str, font: str) -> DataFrame:
     """(char, fonts): for each character that any font has, its fonts in order, as often as they are listed."""
     return chars.select(char).distinct().join(fonts, char).groupBy(char).agg(F.array_sort(F.collect_list(font)).alias("fonts"))

@@ -73,6 +73,15 @@ BOXES = Fixture("page int, x1 double, y1 double, x2 double, y2 double, height in
 FONTS = Fixture("script string, path string", [("latin", f"/f/{n}.ttf") for n in ("Caveat-1", "caveat-2", "Dancing-x", "indie-f", "Kalam", "Roboto", "Lobster", "Noto", "Serif", "Mono", "Sans")] + [("thai", "/f/NotoThai.ttf"), ("thai", "/f/kalam-th.ttf"), ("lao", "/f/special-lao.ttf")])
 COVERED = Fixture("char string, font string", [("a", "f1"), ("a", "f2"), ("a", "f1"), ("b", "f2"), ("z", "f3")])
 CJK = Fixture("word string", [("漢字",), ("かな",), ("カナ漢",), ("abc",), ("한국",), ("漢",), ("㐀㐁一",), ("ーー",), ("一一二",), ("a" * 16 + "漢",)])
+#: Row-major channel values of pictures: one dark stroke on white, plain paper, one pixel, none, coloured corners.
+PICTURES = Fixture("id int, width int, r array<int>, g array<int>, b array<int>", [
+    (1, 4, [255, 255, 255, 255, 255, 0, 10, 255, 255, 255, 255, 255], [255, 255, 255, 255, 255, 0, 10, 255, 255, 255, 255, 255], [255, 255, 255, 255, 255, 0, 10, 255, 255, 255, 255, 255]),
+    (2, 2, [200, 205, 210, 199], [200, 205, 210, 199], [200, 205, 210, 199]), (3, 1, [7], [7], [7]), (4, 0, [], [], []),
+    (5, 3, [0, 90, 255, 250, 0, 255, 0, 20, 0], [0, 90, 255, 0, 0, 255, 0, 20, 0], [0, 90, 255, 0, 255, 255, 0, 20, 0]),
+])
+ARRAYS = Fixture("id int, a array<string>, b array<string>", [(1, ["x", "y"], ["y"]), (2, ["x"], ["z"]), (3, [], ["x"]), (4, None, ["x"]), (5, ["x", None], [None])])
+GRID = (["क", "ख"], ["", "ा", "ि"], ["", "ं"])
+HAN_COUNTS = Fixture("word string, n long", [("漢字", 5), ("一漢", 2), ("字字", 1), ("かな", 9), ("人", 6), ("口", 1), ("山", 1), (None, 3)])
 LISTED = Fixture("script string, word string", [("devanagari", w) for w in ("नमस्ते", "न 1", "नa", "abc", "12", "नग;", "नя")] + [("thai", "สวัสดี"), ("thai", "ก"), ("latin", "�naïve"), ("latin", "9lives"), ("latin", "naïve"), ("latin", "b" * 16)])
 RUNNING = Fixture("id int, text string", [(1, "«Привет», мир! hello (мир-труд) 12 мир…"), (2, "x​мир да"), (3, ""), (4, "\"да\" 'нет' #тег#")])
 MARKUP = Fixture("id int, markup string, html string", [(1, "see [[alpha]] and [[beta|b]] [[ alpha ]]", "<tr><td>ab</td><td class='x'>c</td><td><b>def</b></td></tr>"), (2, "[[x", "<td>sixteen letters!</td><td>fifteen letters</td>"), (3, "", "")])
@@ -409,6 +418,36 @@ def readable_inks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return INKS.frame(spark).select("id", I.readable([F.col(c) for c in ("ir", "ig", "ib")], [F.col(c) for c in ("pr", "pg", "pb")]).alias("readable"))
 
 
+def ink_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of small pictures that stand out from their corners, and whether there are at least two."""
+    n = I.ink_pixels(I.grey_levels(F.col("r"), F.col("g"), F.col("b")), F.col("width"))
+    return PICTURES.frame(spark).select("id", n.cast("long").alias("n"), (n >= 2).alias("inked"))
+
+
+def common_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ARRAYS.frame(spark).select("id", L.shares_any(F.col("a"), F.col("b")).alias("any"))
+
+
+def syllable_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every consonant with every vowel sign and tone of a small grid."""
+    return L.combined(spark, *GRID)
+
+
+def ideograph_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ideographs that fill a vocabulary of 6 beside two base characters."""
+    return C.frequent_ideographs(HAN_COUNTS.frame(spark), ["一", "ー"], 6)
+
+
+def list_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with ideographs or kana, written to one list or the other and read again."""
+    import uuid
+
+    path = f"{O.shared_folder(spark).rstrip('/')}/lists-{uuid.uuid4().hex}"
+    w = F.col("word")
+    B.write_lists(CJK.frame(spark).filter(S.cjk_word(w)).select("word", S.word_list_of(w).alias("list")), path)
+    return spark.read.text(path).select("list", F.col("value").alias("word"))
+
+
 def filler_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up words that show all characters of a script."""
     return L.filler_words(spark, FILLED)
@@ -570,5 +609,10 @@ SQL = {
     "named_functions": f"SELECT *, clean AS form FROM (VALUES (1, 'Привет», мир! hello (мир-труд) 12 мир'), (2, {_literal(RUNNING.rows[1][1])}), (3, ''), (4, 'да\" ''нет'' #тег#')) t(id, clean)",
     "spell_correct": f"WITH {_SPELL} SELECT text, confidence, result, corrected FROM r",
     "spell_counters": f"WITH {_SPELL} SELECT count(*) FILTER (WHERE corrected) AS corrected, count(*) FILTER (WHERE confidence < 0.5) AS unsure, count(*) AS total FROM r",
+    "ink_pixels": f"WITH {PICTURES.sql('p')}, g AS (SELECT id, width AS w, list_transform(range(1, len(r) + 1), lambda i: 0.299::DOUBLE * r[i] + 0.587::DOUBLE * g[i] + 0.114::DOUBLE * b[i]) AS x FROM p), k AS (SELECT *, list_sort([x[1], x[w], x[len(x) - w + 1], x[len(x)]]) AS c FROM g), n AS (SELECT id, coalesce(len(list_filter(x, lambda v: abs(v - (c[2] + c[3]) / 2) > 30)), 0) AS n FROM k) SELECT id, n, n >= 2 AS inked FROM n",
+    "common_entries": f"WITH {ARRAYS.sql('t')} SELECT id, coalesce(len(list_filter(a, lambda v: v IS NOT NULL AND list_contains(b, v))) > 0, FALSE) AS any FROM t",
+    "syllable_grid": f"SELECT x || y || z AS word FROM (SELECT unnest({_literal(GRID[0])}) AS x), (SELECT unnest({_literal(GRID[1])}) AS y), (SELECT unnest({_literal(GRID[2])}) AS z)",
+    "ideograph_slots": f"WITH {HAN_COUNTS.sql('t')}, c AS (SELECT unnest(regexp_extract_all(word, '[{S.HAN}]')) AS char, n FROM t), s AS (SELECT char, sum(n)::BIGINT AS n FROM c WHERE char NOT IN ('一', 'ー') GROUP BY char) SELECT char, n, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY n DESC, char) AS rank FROM s) WHERE rank <= 3",
+    "list_outputs": f"WITH {CJK.sql('c')}, x AS (SELECT DISTINCT word, regexp_matches(word, '[{S.HAN}]') AS han, regexp_matches(word, '[{S.KANA}]') AS kana FROM c) SELECT CASE WHEN kana AND NOT han THEN 'japanese' ELSE 'han_kana' END AS list, word FROM x WHERE length(word) BETWEEN 2 AND 15 AND (han OR kana)",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -90,6 +90,11 @@ def append_new(words: DataFrame, path: str) -> None:
     (new if known is None else new.join(known, "word", "left_anti")).sortWithinPartitions("word").write.mode("append").parquet(path)
 
 
+def write_lists(words: DataFrame, path: str) -> None:
+    """Words by their `list`: a folder each, one word a line, each once, in order of code points through the files of a folder."""
+    words.select("list", "word").distinct().repartitionByRange("list", "word").sortWithinPartitions("list", "word").write.mode("overwrite").partitionBy("list").text(path)
+
+
 def write_shards(samples: DataFrame, path: str, rows: int = 5000) -> None:
     """Compressed shards of at most `rows` rows, a folder for each split."""
     samples.write.mode("overwrite").partitionBy("split").option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)

@@ -32,3 +32,9 @@ def test_budget():
     assert I.budget((100, 30), (200, 50), 100) == 425
     with pytest.raises(ValueError):
         I.budget((100, 30), (200, 30), 100)
+
+
+def test_ink_pixels(spark):
+    rows = [([255.0] * 5 + [0.0] * 3 + [255.0], 3), ([10.0, 40.0], 2), ([10.0, 41.0, 10.0, 10.0], 2), ([], 0), ([5.0], 1)]
+    got = spark.createDataFrame(rows, "g array<double>, w int").select(I.ink_pixels(F.col("g"), F.col("w")).alias("n")).collect()
+    assert [r.n for r in got] == [3, 0, 1, 0, 0]

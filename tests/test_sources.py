@@ -113,3 +113,11 @@ def test_store_round_trip(spark):
     pairs = S.samples_to_pairs(spark.createDataFrame(rows, "idx long, image binary, label string"))
     assert sorted(map(tuple, S.pairs_to_samples(pairs, 1).collect())) == rows
     assert [r.idx for r in S.pairs_to_samples(pairs, 0).collect()] == [1]
+
+
+def test_lists_are_written_in_order(spark, tmp_path):
+    words = spark.createDataFrame([("b", "y"), ("a", "y"), ("é", "x"), ("z", "x"), ("a", "y"), ("\U00020000", "x"), ("\uffee", "x")], "word string, list string")
+    S.write_lists(words, str(tmp_path / "lists"))
+    read = lambda name: [line for f in sorted((tmp_path / "lists" / f"list={name}").glob("part-*")) for line in f.read_text().split("\n") if line]
+    assert read("x") == ["z", "é", "\uffee", "\U00020000"]
+    assert read("y") == ["a", "b"]
