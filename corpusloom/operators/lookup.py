@@ -18,7 +18,7 @@ def local_ids(members: DataFrame, group: str, member: str) -> DataFrame:
     number = lambda *by: F.row_number().over(Window.orderBy(*by)) - 1
     groups = members.select(group).distinct().withColumn("group_id", number(group))
     every = members.select(group, member).distinct()
-    return every.join(F.broadcast(groups), group).withColumns({"member_id": number(group, member), "local_id": F.row_number().over(Window.partitionBy(group).orderBy(member)) - 1})
+    return every.join(groups, group).withColumns({"member_id": number(group, member), "local_id": F.row_number().over(Window.partitionBy(group).orderBy(member)) - 1})
 
 
 def looked_up(rows: DataFrame, dimension: DataFrame, key: str, value: str, default: object) -> DataFrame:

@@ -64,15 +64,15 @@ def shuffled_width_batches(rows: DataFrame, width: str, key: str, size: int, of_
     placed = ranked(rows, width, key).withColumn("_bucket", F.floor(F.col("place") / whole))
     total = placed.agg(F.count(F.lit(1)).alias("_all"))
     placed = placed.join(F.broadcast(total), how="cross").withColumn("_full", F.col("_bucket") < F.floor(F.col("_all") / whole))
-    order = placed.select("_bucket").filter("_full").distinct().select("_bucket", F.row_number().over(Window.orderBy(shuffled_key(salt + "bucket", "_bucket"), "_bucket")).alias("_b"))  # a row a bucket
+    shuffled = lambda x, kind, name: ranked(x.distinct().withColumn("_k", shuffled_key(salt + kind, x.columns[0])), "_k", x.columns[0], name=name).drop("_k")
+    order = shuffled(placed.filter("_full").select("_bucket"), "bucket", "_b")
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(shuffled_key(salt + "row", key), key)) - 1
-    mixed = placed.withColumn("_in", within).join(F.broadcast(order), "_bucket", "left")
-    batch = F.floor(((F.coalesce(F.col("_b") - 1, F.floor(F.col("_all") / whole))) * whole + F.col("_in")) / size)
+    mixed = placed.withColumn("_in", within).join(order, "_bucket", "left")
+    batch = F.floor(((F.coalesce("_b", F.floor(F.col("_all") / whole))) * whole + F.col("_in")) / size)
     mixed = mixed.withColumn("batch", batch).withColumn("_size", F.least(F.lit(size), F.col("_all") - F.col("batch") * size))
     if drop_last:
         mixed = mixed.filter(F.col("_size") == size)
-    turns = mixed.select("batch").distinct().select("batch", (F.row_number().over(Window.orderBy(shuffled_key(salt + "batch", "batch"), "batch")) - 1).alias("turn"))  # a row a batch
-    return mixed.join(turns, "batch").drop("place", "_bucket", "_all", "_full", "_in", "_b", "_size")
+    return mixed.join(shuffled(mixed.select("batch"), "batch", "turn"), "batch").drop("place", "_bucket", "_all", "_full", "_in", "_b", "_size")
 
 
 def padded(batches: DataFrame, width: str, multiple: int = 4) -> DataFrame:

@@ -56,7 +56,7 @@ def width_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 8 documents of like length, mixed inside buckets of 10 batches; the last batch goes if it isn't full."""
-    return P.shuffled_width_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 8)
+    return P.shuffled_width_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 8).withColumn("turn", F.col("turn").cast("int"))
 
 
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors nearest to each class mean."""
     vectors = table(spark, sf_dir, "embeddings")
     centers = S.centroids(vectors, "label", "embedding").withColumnRenamed("label", "class")
-    near = vectors.crossJoin(F.broadcast(centers)).select("class", "vec_id", S.cosine(F.col("embedding"), F.col("center")).alias("cosine"))
+    near = S.all_cosines(vectors, centers.withColumnRenamed("center", "embedding"), "vec_id", "class", "embedding").withColumnRenamed("leaf", "class")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("cosine"), "vec_id"))
