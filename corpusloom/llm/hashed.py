@@ -47,6 +47,19 @@ def memoised(weights: np.ndarray, features: Callable[[bytes], tuple[int, ...]])
     return total
 
 
+def packed(weights: np.ndarray) -> bytes:
+    """The weights that aren't 0 as pairs of place and value."""
+    at = np.flatnonzero(weights)
+    return at.astype(np.int64).tobytes() + weights[at].astype(np.float64).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What packed() was given."""
+    n, weights = len(data) // 16, np.zeros(SPACE)
+    weights[np.frombuffer(data, np.int64, n)] = np.frombuffer(data, np.float64, n, 8 * n)
+    return weights
+
+
 class Adam:
     """Steps of the Adam method for one array."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import UPPER, bounded, column, own, read, set_aside, sigmoid, texts
-from corpusloom.llm.hashed import KEPT, SPACE, Adam, memoised
+from corpusloom.llm.hashed import KEPT, SPACE, Adam, memoised, packed, unpacked
 
 #: Documents that train the scorer, at most.
 SAMPLE = 5000
@@ -186,10 +186,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray,
                     out["votes"].append(list(votes(len(tokens), x)))
             yield pa.record_batch({"mark": pa.array(out["mark"], pa.int64()), "tokens": pa.array(out["tokens"], pa.binary()), "own": pa.array(out["own"], pa.list_(pa.int32())), "votes": pa.array(out["votes"], pa.list_(pa.int32()))})
 
-    got = some.mapInArrow(run, "mark long, tokens binary, own array<int>, votes array<int>").dropDuplicates(["mark"]).orderBy("mark").toArrow()
-    rows = [(np.frombuffer(t, np.int32), o) for t, o in zip(got["tokens"].to_pylist(), got["own"].to_pylist(), strict=True)]
-    target = labels.posterior(np.array(got["votes"].to_pylist(), np.int64).reshape(-1, len(VOTERS)))
-    return labels, *fit_scorer(rows, target)
+    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, said = [], []
+        for batch in batches:
+            rows += [(np.frombuffer(t, np.int32), o) for t, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            said += batch.column(2).to_pylist()
+        weights, intercept = fit_scorer(rows, labels.posterior(np.array(said, np.int64).reshape(-1, len(VOTERS))))
+        yield pa.record_batch({"weights": pa.array([packed(weights)], pa.binary()), "intercept": pa.array([intercept], pa.float64())})
+
+    # the sample stays in one task, of which the driver gets the weights
+    rows = some.mapInArrow(run, "mark long, tokens binary, own array<int>, votes array<int>").dropDuplicates(["mark"])
+    got = rows.repartition(1).sortWithinPartitions("mark").select("tokens", "own", "votes").mapInArrow(scorer, "weights binary, intercept double").first()
+    return labels, *((unpacked(got["weights"]), got["intercept"]) if got else fit_scorer([], np.zeros(0)))
 
 
 def scored(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:

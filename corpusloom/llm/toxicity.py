@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORDS, column, own, read, set_aside, sigmoid, texts
-from corpusloom.llm.hashed import HALF, SPACE, Adam, memoised, word_features
+from corpusloom.llm.hashed import HALF, SPACE, Adam, memoised, packed, unpacked, word_features
 
 #: Labelled rows used for fitting, at most.
 SAMPLE = 6000
@@ -106,16 +106,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """The model from the labels of `docs`."""
+    """The model from the labels of `docs`; the sample stays in one task, of which the driver gets weights and cuts."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = [], []
         for batch in batches:
-            out = [np.fromiter((f for w in sorted(set(t.translate(WORDS).split())) for f in word_features(w)), np.int32).tobytes() for t in texts(batch.column(0))]
-            yield pa.record_batch({"features": pa.array(out, pa.binary()), "y": batch.column(1)})
+            rows += [np.fromiter((f for w in sorted(set(t.translate(WORDS).split())) for f in word_features(w)), np.int32) for t in texts(batch.column(0))]
+            y += batch.column(1).to_pylist()
+        model = fit_ordinal(rows, graded(rows, np.array(y, np.int64)))
+        yield pa.record_batch({"weights": pa.array([packed(model.weights)], pa.binary()), "cuts": pa.array([model.cuts.tobytes()], pa.binary())})
 
-    got = labelled(docs, labels, "toxic", sample).mapInArrow(features, "features binary, y int").toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in got["features"].to_pylist()]
-    return fit_ordinal(rows, graded(rows, np.array(got["y"].to_pylist(), np.int64)))
+    got = labelled(docs, labels, "toxic", sample).coalesce(1).mapInArrow(run, "weights binary, cuts binary").first()
+    return Ordinal(unpacked(got["weights"]), np.frombuffer(got["cuts"], np.float64)) if got else fit_ordinal([], np.zeros(0, np.int64))
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 
 from corpusloom.llm import quality as Q
@@ -127,3 +129,17 @@ def test_the_sample_is_a_bound(spark, monkeypatch):
     assert sizes[0] <= 100 and sizes[0] >= 10 and sizes[1] == 401
     Q.fit(docs.filter("text like 'the same%'"), 5)
     assert sizes[2] == 1
+
+
+def test_the_fit_is_not_on_the_driver(spark, data, monkeypatch):
+    """The sample and the scorer's fit stay in a task."""
+    docs = read(spark, data, "documents")
+    _, want, b = Q.fit(docs)
+
+    def elsewhere(*given, mine=os.getpid(), fit=Q.fit_scorer):
+        assert os.getpid() != mine
+        return fit(*given)
+
+    monkeypatch.setattr(Q, "fit_scorer", elsewhere)
+    _, got, intercept = Q.fit(docs)
+    assert (got == want).all() and intercept == b and got.any()

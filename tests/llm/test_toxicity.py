@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 
 from corpusloom.llm import toxicity as T
@@ -101,3 +103,17 @@ def test_the_sample_is_a_bound(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "same")] * 50, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert T.labelled(docs, labels, "toxic", 20).count() == 20 and T.labelled(docs, labels, "toxic", 1000).count() == 501
+
+
+def test_the_fit_is_not_on_the_driver(spark, data, monkeypatch):
+    """The labelled sample and its fit stay in a task."""
+    docs, labels = read(spark, data, "documents"), read(spark, data, "labels")
+    want = T.fit(docs, labels)
+
+    def elsewhere(*given, mine=os.getpid(), fit=T.fit_ordinal):
+        assert os.getpid() != mine
+        return fit(*given)
+
+    monkeypatch.setattr(T, "fit_ordinal", elsewhere)
+    got = T.fit(docs, labels)
+    assert (got.weights == want.weights).all() and (got.cuts == want.cuts).all() and got.weights.any()
