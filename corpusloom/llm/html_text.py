@@ -7,20 +7,23 @@ a header in an article its headings are text, of a footer nothing. Of a page wit
 blocks inside are the article. There, names that only hint at what stands around a text (`social`, `share`, `widget`) do not
 mark paragraphs, headings, quotations or code.
 
-What structure leaves open is decided by repeats on the host: every block of a page without an article, and in an article
-blocks that are neither paragraphs nor headings, quotations, code or tables (lists and bare text of containers: share
-links, author notes, teasers). The token streams of the open blocks of a host's pages are concatenated and a suffix array
+Every page's blocks then go through repeats on its host: the token streams of the host's pages are concatenated and a suffix array
 is built over them by doubling; neighbours in it give every token run of at least `least` tokens that occurs on two distinct
-pages, in one block or across several. An open block is boilerplate if runs that stand on three
-distinct bodies (and ids) of the host cover at least `share` of its tokens; pages of equal open blocks are one body. What
-only two bodies share can be a copy or a quote, which is text of the page, and stays. Paragraphs of an article are never cut: repeats
-there are the author's (quotes, summaries, passages), and the main text must be whole.
+pages, in one block or across several. A page has a stream of its open blocks and one of its author's; runs don't go from one to the other,
+and author's words only equal author's words. Open are all blocks of a page without an article, and in an article
+blocks that are neither paragraphs nor headings, quotations, code or tables (lists and bare text of containers: share
+links, author notes, teasers). A block is boilerplate if runs that stand on three
+distinct bodies (and ids) of the host cover at least `share` of its tokens; equal streams are one body. What
+only two bodies share can be a copy or a quote, which is text of the page, and stays. A check of the structure follows: an author's block stays even if it is
+boilerplate by its repeats, as repeats in an article's paragraphs are the author's (quotes, summaries, passages) and the main text must be whole.
 
 A host may hold a third of all pages: hosts are dealt to shards of about PAGES pages by a number that each row gets once,
 so equal rows are spread too, and the number of shards of a host comes from a table of 65,536 counters (an upper bound of a host's
-pages whose size doesn't grow). Repeats are those of the whole host: the 64-bit keys of all runs of `least` tokens
-(salted by host) are dealt to buckets by key, counted there over all pages, and the repeated ones go back to the
-shards, where they mark places of the suffix array. The shards change no result. Pages without open blocks are not shuffled.
+pages whose size doesn't grow). The suffix array of a host in one shard has all its repeats. Repeats of a host in several shards are those of the whole host too:
+each shard sends the least hash of GRAM tokens in each of its runs, once (equal runs have equal ones, and neighbours share theirs), and learns which of them
+other shards have; the 64-bit keys of runs that may so be repeated are dealt to buckets by key, counted there over all pages, and those of the repeated ones go back to the
+shards, where they mark places of the suffix array. The shards change no result. The pages are parsed once for the shuffle to shards, which all passes read;
+the number that deals rows follows the order of reading, so a table has to be read in the same order if a task is run again.
 
 Null html is the empty page, whose text is empty. Very long pages are read whole. Repeated rows are pages of one id; runs that they share don't
 count as distinct pages. Pages without a host share the host "". Extra columns are ignored. An empty table gives no rows.
@@ -39,18 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import M1, column, mix, read, written
+from corpusloom.llm.common import M1, column, mix, read
 
 LEAST = 8
 SHARE = 0.8
 #: Distinct bodies of a host that boilerplate stands on, at least.
 BODIES = 3
-PAGES = 64
+PAGES = 512
 COUNTERS = 1 << 16
 #: Characters of html whose runs share a bucket of keys.
 BUCKET = 1 << 25
-#: Pages whose keys are sent together, and words whose hashes a worker remembers.
-TOGETHER, REMEMBERED = 2048, 200_000
+#: Tokens of the parts of a run of which the one with the least hash stands for it in other shards.
+GRAM = 4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br_ dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption center".split())
 #: Elements that never hold main text; header and footer only outside an article.
@@ -168,20 +171,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def open_blocks(found: list[tuple[str, str]]) -> bool:
-    """Whether repeats on the host can change a page's text."""
-    kinds = {k for k, _ in found}
-    return OPEN in kinds or bool(kinds) and kinds == {OUTER}
-
-
-def streamed(found: list[tuple[str, str]]) -> list[str]:
-    """The blocks that repeats decide: open ones of an article, all of a page without one."""
-    own = [t for k, t in found if k == OPEN]
-    return own if any(k != OUTER for k, _ in found) else [t for _, t in found]
+def streamed(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """The blocks of a page's two streams: open ones of an article, or all of a page without one; and the author's."""
+    if all(k == OUTER for k, _ in found):
+        return [t for _, t in found], []
+    return [t for k, t in found if k == OPEN], [t for k, t in found if k == AUTHOR]
 
 
-def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of their suffixes, by doubling, and the ranks of positions."""
+def suffix_array(s: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in order of their suffixes, by doubling, and the ranks of positions; with `depth`, in order of so many tokens at least."""
     n = len(s)
     _, rank = np.unique(s, return_inverse=True)
     k = 1
@@ -193,9 +191,9 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sorted_ = key[sa]
         rank = np.empty(n, np.int64)
         rank[sa] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
-        if n == 0 or rank[sa[-1]] == n - 1:
-            return sa, rank
         k *= 2
+        if n == 0 or rank[sa[-1]] == n - 1 or depth is not None and k >= depth:
+            return sa, rank
 
 
 def digest(text: str) -> int:
@@ -210,11 +208,6 @@ def run_keys(hashes: np.ndarray, at: np.ndarray, host: np.ndarray | np.uint64, l
     return key
 
 
-def segments(page: list[list]) -> list[list]:
-    """The token runs that a repeat may not go beyond: the whole page, as menus and link lists are many short blocks."""
-    return [[t for block in page for t in block]]
-
-
 def repeated(pages: list[list[list[int]]], page_ids: list, least: int = LEAST) -> list[list[int]]:
     """Tokens of each block of each page that lie in a run of at least `least` tokens found on two distinct page ids.
 
@@ -223,13 +216,14 @@ def repeated(pages: list[list[list[int]]], page_ids: list, least: int = LEAST) -
     return coverage(pages, page_ids, least)[0]
 
 
-def coverage(pages: list[list[list[int]]], page_ids: list, least: int, elsewhere: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[list[list[int]], list[list[int]]]:
+def coverage(pages: list[list[list[int]]], page_ids: list, least: int, elsewhere: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, bodies: list[int] | None = None) -> tuple[list[list[int]], list[list[int]]]:
     """What `repeated` counts, and the same of runs that are boilerplate.
 
-    elsewhere(stream, places) tells of the runs of `least` tokens at places of the stream whether they are found on
-    two ids of the whole host, and whether they are boilerplate there; with it, runs go on to the end of a page.
+    Boilerplate stands on BODIES distinct ids and `bodies` (a number for each page). elsewhere(stream, places) tells of the runs of
+    `least` tokens at places of the stream whether they are found on two ids of the whole host, and whether they are
+    boilerplate there. With bodies, runs go on to the end of a page.
     """
-    across = elsewhere is not None
+    across = bodies is not None
     stream, owner, first, unique = [], [], [], -1
     for p, page in enumerate(pages):
         for block in page:
@@ -245,7 +239,7 @@ def coverage(pages: list[list[list[int]]], page_ids: list, least: int, elsewhere
         return counts
     s = np.array(stream, np.int64)
     ids = np.unique(np.array([str(i) for i in page_ids]), return_inverse=True)[1][np.array(owner)]
-    sa, _ = suffix_array(s)
+    sa, _ = suffix_array(s, least)
     # neighbours that share `least` tokens are one group; a group on two ids covers its places
     padded = np.concatenate([s, -np.arange(1, least + 1) - len(s) - 1])
     same = np.ones(len(sa) - 1, bool)
@@ -256,11 +250,14 @@ def coverage(pages: list[list[list[int]]], page_ids: list, least: int, elsewhere
     np.minimum.at(low, group, ids[sa])
     np.maximum.at(high, group, ids[sa])
     often, boilerplate = low < high, np.zeros(len(low), bool)
+    if bodies is not None:
+        head = sa[start := np.flatnonzero(np.r_[True, ~same])]
+        boilerplate = np.minimum(_distinct(start, group, ids[sa]), _distinct(start, group, np.array(bodies)[np.array(owner)][sa])) >= BODIES
     if elsewhere is not None:
-        head = sa[np.r_[True, ~same]]
         whole = np.flatnonzero(np.all([padded[head + j] >= 0 for j in range(least)], axis=0))
-        two, boilerplate[whole] = elsewhere(s, head[whole])
+        two, most = elsewhere(s, head[whole])
         often[whole] |= two
+        boilerplate[whole] |= most
     for chosen, out in zip((often, boilerplate), counts, strict=True):
         edge = np.zeros(len(s) + least + 1, np.int64)
         places = sa[chosen[group]]
@@ -272,11 +269,12 @@ def coverage(pages: list[list[list[int]]], page_ids: list, least: int, elsewhere
     return counts
 
 
-def main_text(found: list[tuple[str, str]], covered: list[int], share: float = SHARE) -> str:
-    """The article's blocks, or all of a page without one, less those that boilerplate covers; `covered` counts tokens of the blocks that repeats decide, in order."""
-    article, at, out = any(k != OUTER for k, _ in found), iter(covered), []
+def main_text(found: list[tuple[str, str]], covered: tuple[list[int], list[int]], share: float = SHARE) -> str:
+    """The article's blocks, or all of a page without one, less those that boilerplate covers, unless they are the author's; `covered` counts tokens of the blocks of both streams, in order."""
+    kinds = (OPEN, AUTHOR) if any(k != OUTER for k, _ in found) else (OUTER, "")
+    at, out = dict(zip(kinds, map(iter, covered), strict=True)), []
     for kind, text in found:
-        if kind == AUTHOR or (kind == OPEN or not article) and next(at, 0) < share * len(text.split()):
+        if kind in at and (next(at[kind]) < share * len(text.split()) or kind == AUTHOR):
             out.append(text)
     return "\n".join(out)
 
@@ -286,35 +284,58 @@ def host(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _keys(least: int, buckets: int) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
-    """Makes rows of keys of (blocks, host hash, id hash, shard) of pages: for each bucket keys in order of pages, and of each page its number of keys, id, shard and hash of its blocks."""
-    known: dict[str, int] = {}
-
-    def number(w: str) -> int:
-        if (h := known.get(w)) is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            h = known[w] = digest(w)
-        return h
+class _Streams:
+    """The token streams of a shard's pages, two a page, as numbers of words, and their bodies; the author's words have odd numbers, others even ones."""
 
-    def make(pages: list[tuple]) -> Iterator[pa.RecordBatch]:
-        runs = [(p, [number(w) for w in run]) for p, (found, *_) in enumerate(pages) for run in segments([t.split() for t in found])]
-        sizes = np.array([len(r) for _, r in runs], np.int64)
-        hashes = np.array([h for _, r in runs for h in r], np.uint64)
+    def __init__(self, table: pa.Table) -> None:
+        numbers: dict[str, int] = {}
+        self.found = [[(x[0], x[1:]) for x in zlib.decompress(b).decode().split("\n") if x] for b in table["blocks"].to_pylist()]
+        streams = [s for f in self.found for s in streamed(f)]
+        self.tokens = [[[2 * numbers.setdefault(w, len(numbers)) + k % 2 for w in t.split()] for t in s] for k, s in enumerate(streams)]
+        self.bodies = [digest("\n".join(s)) >> 1 for s in streams]
+        words = np.fromiter(map(digest, numbers), np.uint64, len(numbers))
+        self.hashes = np.stack([words, mix(words ^ M1)], axis=1).reshape(-1)
+        self.salt = np.array(table["salt"].to_pylist()[:1], np.int64).view(np.uint64)
+        self.shard, self.alone = table["shard"][0].as_py(), table["parts"][0].as_py() == 1
+
+    def runs(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of all tokens, the places where a run of `least` tokens begins, and their streams."""
+        sizes = np.array([sum(map(len, s)) for s in self.tokens], np.int64)
+        hashes = self.hashes[np.fromiter((x for s in self.tokens for b in s for x in b), np.int64, sizes.sum())]
         at = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes) - np.arange(len(hashes)) >= least)
-        page = np.repeat(np.array([p for p, _ in runs], np.int64), sizes)[at]
-        hosts, ids, shards = (np.array([x[k] for x in pages], np.int64) for k in (1, 2, 3))
-        bodies = np.array([digest("\n".join(x[0])) for x in pages], np.uint64).view(np.int64)
-        keys = run_keys(hashes, at, hosts.view(np.uint64)[page], least)
-        bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((page, bucket))
-        keys, page, bucket = keys[order], page[order], bucket[order]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            some, n = np.unique(page[a:b], return_counts=True)
-            yield pa.record_batch({"bucket": pa.array([int(bucket[a])], pa.int64()), "keys": pa.array([keys[a:b].tobytes()], pa.binary()), "pages": pa.array([np.stack([n, ids[some], shards[some], bodies[some]]).tobytes()], pa.binary())})
+        return hashes, at, np.repeat(np.arange(len(sizes)), sizes)[at]
+
+    def marks(self, hashes: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+        """What stands for the run at each place in other shards: the least hash of its parts of GRAM tokens, scrambled."""
+        n = min(GRAM, least)
+        parts = run_keys(hashes, np.arange(max(0, len(hashes) - n + 1)), self.salt, n)
+        return mix(np.minimum.reduce([parts[at + j] for j in range(least - n + 1)])) if len(at) else np.zeros(0, np.uint64)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
-    return make
+
+def _short(marks: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and last 32 bits of marks, as one number."""
+    return _bucket(marks, buckets).view(np.uint64) << np.uint64(32) | marks & np.uint64(0xFFFFFFFF)
+
+
+def _spans(of: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal numbers."""
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, np.int64)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _marked(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each shard, its marks that another shard has."""
+    rows = [np.frombuffer(x, np.uint32) for x in table["marks"].to_pylist()]
+    marks, shard = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, which, n = np.unique(marks, return_inverse=True, return_counts=True)
+    often = n[which] > 1
+    marks, shard = marks[often], shard[often]
+    spans = _spans(shard)
+    return pa.table({"bucket": pa.array(table["bucket"].to_pylist()[:1] * len(spans), pa.int64()), "shard": pa.array([table["shard"][int(shard[a])].as_py() for a, _ in spans], pa.int64()), "marks": pa.array([marks[a:b].tobytes() for a, b in spans], pa.binary())})
 
 
 def _distinct(start: np.ndarray, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -352,74 +373,74 @@ def _counted(table: pa.Table) -> pa.Table:
 
 
 def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE, per_shard: int = PAGES) -> DataFrame:
-    """(page_id, url, text, repeated_tokens) of each row; repeated_tokens counts tokens of open blocks in runs shared with another page of the host."""
+    """(page_id, url, text, repeated_tokens) of each row; repeated_tokens counts tokens of open and author's blocks in runs shared with another page of the host."""
     rows = pages.select(column(pages, "page_id", "long").alias("page_id"), column(pages, "url", "string").alias("url"), column(pages, "html", "string").alias("html"), host(column(pages, "url", "string")).alias("host"))
     source = rows.select("page_id", "url", "html", F.xxhash64("host").alias("salt"), F.xxhash64("page_id").alias("id"))
 
+    counts, size = np.zeros(COUNTERS, np.int64), 0
+    slot = F.pmod(F.xxhash64("salt"), F.lit(COUNTERS))
+    for r in source.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("size")).collect():  # COUNTERS rows at most
+        counts[r["slot"]] = r["n"]
+        size += r["size"] or 0
+    shards, buckets = pages.sparkSession.sparkContext.broadcast(np.maximum(1, -(-counts // per_shard))), size // BUCKET + 1
+
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Text of pages that structure decides; blocks of others, and a number by which they are dealt."""
+        """Blocks of pages, and their shard: a hash of host and share of it."""
         turn = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [blocks(h or "") for h in part.column(2).to_pylist()]
-                undecided = [open_blocks(f) for f in found]
-                packed = [zlib.compress("\n".join(k + t for k, t in f).encode(), 1) if o else None for f, o in zip(found, undecided, strict=True)]
-                text = [None if o else main_text(f, []) for f, o in zip(found, undecided, strict=True)]
+                packed = [zlib.compress("\n".join(k + t for k, t in blocks(h or "")).encode(), 1) for h in part.column(2).to_pylist()]
                 turns = mix(np.array(part.column(4).to_pylist(), np.int64).view(np.uint64) + np.arange(turn, turn + part.num_rows, dtype=np.uint64) * M1).view(np.int64)
                 turn += part.num_rows
-                yield pa.record_batch({"page_id": part.column(0), "url": part.column(1), "salt": part.column(3), "id": part.column(4), "turn": pa.array(turns, pa.int64()), "text": pa.array(text, pa.string()), "blocks": pa.array(packed, pa.binary())})
-
-    every = written(source.mapInArrow(parsed, "page_id long, url string, salt long, id long, turn long, text string, blocks binary"), "pages")
-    decided = every.filter("blocks IS NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("repeated_tokens"))
-    left = every.filter("blocks IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("salt"), F.lit(COUNTERS)))
-    counts, size = np.zeros(COUNTERS, np.int64), 0
-    for r in left.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("blocks")).alias("size")).collect():  # COUNTERS rows at most
-        counts[r["slot"]] = r["n"]
-        size += 3 * (r["size"] or 0)
-    if not counts.any():
-        return decided
-    shards, make = pages.sparkSession.sparkContext.broadcast(-(-counts // per_shard)), _keys(least, size // BUCKET + 1)
-
-    def unpacked(b: bytes) -> list[tuple[str, str]]:
-        return [(x[0], x[1:]) for x in zlib.decompress(b).decode().split("\n") if x]
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their shard: a hash of host and share of it."""
-        for part in batches:
-            n = np.maximum(1, shards.value[np.array(part.column(5).to_pylist(), np.int64)])
-            share = (np.array(part.column(4).to_pylist(), np.int64) % n).astype(np.uint64)
-            shard = mix(mix(share + M1) ^ np.array(part.column(2).to_pylist(), np.int64).view(np.uint64)).view(np.int64)
-            yield pa.record_batch({"page_id": part.column(0), "url": part.column(1), "salt": part.column(2), "id": part.column(3), "shard": pa.array(shard, pa.int64()), "blocks": part.column(6)})
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for part in batches:
-            held += zip(map(streamed, map(unpacked, part.column(5).to_pylist())), *(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-            if len(held) >= TOGETHER:
-                yield from make(held)
-                held = []
-        yield from make(held)
-
-    found = left.select("page_id", "url", "salt", "id", "turn", "slot", "blocks").mapInArrow(dealt, "page_id long, url string, salt long, id long, shard long, blocks binary")
-    often = found.mapInArrow(keys, "bucket long, keys binary, pages binary").groupBy("bucket").applyInArrow(_counted, "shard long, keys binary, boilerplate binary")
+                parts = shards.value[np.array(part.column(5).to_pylist(), np.int64)]
+                shard = mix(mix((turns % parts).astype(np.uint64) + M1) ^ np.array(part.column(3).to_pylist(), np.int64).view(np.uint64)).view(np.int64)
+                yield pa.record_batch({"page_id": part.column(0), "url": part.column(1), "salt": part.column(3), "id": part.column(4), "shard": pa.array(shard, pa.int64()), "parts": pa.array(parts, pa.int64()), "blocks": pa.array(packed, pa.binary())})
+
+    def marks(table: pa.Table) -> pa.Table:
+        """Of a shard of several of its host: its marks, once each, by bucket."""
+        streams = _Streams(table)
+        short = np.zeros(0, np.uint64) if streams.alone else np.unique(_short(streams.marks(*streams.runs(least)[:2], least), buckets))
+        bucket = short >> np.uint64(32)
+        spans = _spans(bucket)
+        return pa.table({"bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), "shard": pa.array([streams.shard] * len(spans), pa.int64()), "marks": pa.array([short[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary())})
+
+    def keys(table: pa.Table, seen: pa.Table) -> pa.Table:
+        """Of a shard of several of its host, by bucket: the keys of runs that it holds twice or whose marks others have, in order of streams, and of each stream its number of keys, id, shard and body."""
+        streams = _Streams(table)
+        hashes, at, of = streams.runs(least) if not streams.alone else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        others = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(b << 32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(seen["bucket"].to_pylist(), seen["marks"].to_pylist(), strict=True))])
+        keys = run_keys(hashes, at, streams.salt, least)
+        _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+        maybe = (n[which] > 1) | np.isin(_short(streams.marks(hashes, at, least), buckets), others)
+        keys, of = keys[maybe], of[maybe]
+        bucket = _bucket(keys, buckets)
+        order = np.lexsort((of, bucket))
+        keys, of, bucket = keys[order], of[order], bucket[order]
+        ids, bodies, spans, rows = np.repeat(np.array(table["id"].to_pylist(), np.int64), 2), np.array(streams.bodies, np.int64), _spans(bucket), []
+        for a, b in spans:
+            some, n = np.unique(of[a:b], return_counts=True)
+            rows.append(np.stack([n, ids[some], np.full(len(some), streams.shard), bodies[some]]).tobytes())
+        return pa.table({"bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), "pages": pa.array(rows, pa.binary())})
 
     def shard_text(table: pa.Table, often: pa.Table) -> pa.Table:
+        streams = _Streams(table)
         two, boilerplate = (np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in often[c].to_pylist())]) for c in ("keys", "boilerplate"))
-        found = [unpacked(b) for b in table["blocks"].to_pylist()]
-        numbers: dict[str, int] = {}
-        tokens = [[[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in streamed(f)] for f in found]
-        hashes = np.fromiter(map(digest, numbers), np.uint64, len(numbers))
-        salt = np.array(table["salt"].to_pylist()[:1], np.int64).view(np.uint64)
 
         def elsewhere(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            keys = run_keys(hashes[np.maximum(s, 0)], at, salt, least)
+            keys = run_keys(streams.hashes[np.maximum(s, 0)], at, streams.salt, least)
             return np.isin(keys, two), np.isin(keys, boilerplate)
 
-        covered, cut = coverage(tokens, table["page_id"].to_pylist(), least, elsewhere)
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array([main_text(f, c, share) for f, c in zip(found, cut, strict=True)], pa.string()), "repeated_tokens": pa.array([sum(c) for c in covered], pa.int64())})
+        covered, cut = coverage(streams.tokens, [i for i in table["page_id"].to_pylist() for _ in range(2)], least, None if streams.alone else elsewhere, streams.bodies)
+        text = [main_text(f, (cut[2 * p], cut[2 * p + 1]), share) for p, f in enumerate(streams.found)]
+        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(text, pa.string()), "repeated_tokens": pa.array([sum(covered[2 * p]) + sum(covered[2 * p + 1]) for p in range(len(text))], pa.int64())})
 
-    return decided.union(found.groupBy("shard").cogroup(often.groupBy("shard")).applyInArrow(shard_text, "page_id long, url string, text string, repeated_tokens long"))
+    found = source.withColumn("slot", slot).mapInArrow(parsed, "page_id long, url string, salt long, id long, shard long, parts long, blocks binary").groupBy("shard")
+    often = pages.sparkSession.createDataFrame([], "shard long, keys binary, boilerplate binary")
+    if counts.max() > per_shard:
+        seen = found.applyInArrow(marks, "bucket long, shard long, marks binary").groupBy("bucket").applyInArrow(_marked, "bucket long, shard long, marks binary")
+        often = found.cogroup(seen.groupBy("shard")).applyInArrow(keys, "bucket long, keys binary, pages binary").groupBy("bucket").applyInArrow(_counted, "shard long, keys binary, boilerplate binary")
+    return found.cogroup(often.groupBy("shard")).applyInArrow(shard_text, "page_id long, url string, text string, repeated_tokens long")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,3 +151,16 @@ def test_many_equal_rows(spark):
     rows = [(1, "http://h.example/1", f"<div>{menu}</div>")] * 300 + [(None, None, f"<div>{menu}</div>")] * 100
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), per_shard=16)
     assert {(r.page_id, r.text, r.repeated_tokens) for r in got.collect()} == {(1, menu, 0), (None, menu, 0)} and got.count() == 400
+
+
+def test_paragraphs_go_through_the_repeats_of_the_host(spark):
+    """Pages of paragraphs only are in the suffix array of their host, in one shard or many; their paragraphs stay."""
+    passage = "these ten words of an author stand on several pages"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"http://h.example/{i}", f"<nav>menu</nav><article><p>{own(i)}</p>" + f"<p>{passage}</p>" * (i % 7 == 0) + "</article>") for i in range(60)]
+    rows += [(100, "http://other.example/", f"<article><p>{passage}</p></article>"), (101, "http://h.example/x", f"<article>{passage}</article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for n in (4, 1000):
+        got = {r.page_id: (r.text, r.repeated_tokens) for r in H.extract(pages, per_shard=n).collect()}
+        assert all(got[i] == (own(i) + f"\n{passage}" * (i % 7 == 0), 10 * (i % 7 == 0)) for i in range(60))
+        assert got[100] == got[101] == (passage, 0)
