@@ -8,7 +8,7 @@ blocks inside are the article. There, names that only hint at what stands around
 mark paragraphs, headings, quotations or code.
 
 Every page's blocks then go through repeats on its host: the token streams of the host's pages are concatenated and a suffix array
-is built over them by doubling; neighbours in it give every token run of at least `least` tokens that occurs on two distinct
+is built over them by doubling or tripling; neighbours in it give every token run of at least `least` tokens that occurs on two distinct
 pages, in one block or across several. A page has a stream of its open blocks and one of its author's; runs don't go from one to the other,
 and author's words only equal author's words. Open are all blocks of a page without an article, and in an article
 blocks that are neither paragraphs nor headings, quotations, code or tables (lists and bare text of containers: share
@@ -39,10 +39,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import M1, column, mix, read
+from corpusloom.llm.common import M1, M2, column, mix, read
 
 LEAST = 8
 SHARE = 0.8
@@ -179,19 +180,27 @@ def streamed(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
 
 
 def suffix_array(s: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of their suffixes, by doubling, and the ranks of positions; with `depth`, in order of so many tokens at least."""
+    """Positions in order of their suffixes, and the ranks of positions; with `depth`, in order of so many tokens at least.
+
+    By doubling, or more: a step sorts by as many ranks, one behind the other, as fit into 63 bits.
+    """
     n = len(s)
-    _, rank = np.unique(s, return_inverse=True)
+    rank = s.astype(np.int64) - s.min() if n else np.zeros(0, np.int64)
+    if n and rank.max() >= 1 << 31:
+        rank = np.unique(s, return_inverse=True)[1]
     k = 1
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k if n > k else 0] = rank[k:] if n > k else rank[:0]
-        key = rank.astype(np.int64) * (n + 1) + second + 1
-        sa = np.argsort(key, kind="stable")
-        sorted_ = key[sa]
+        bits = int(rank.max() + 1).bit_length() if n else 1
+        ranks = max(2, min(63 // bits, n if depth is None else -(-depth // k)))
+        key = rank + 1
+        for j in range(1, ranks):
+            key <<= bits
+            key[: max(0, n - j * k)] += rank[j * k :] + 1
+        sa = np.argsort(key)
+        key = key[sa]
         rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
-        k *= 2
+        rank[sa] = np.cumsum(np.r_[0, key[1:] != key[:-1]])[:n]
+        k *= ranks
         if n == 0 or rank[sa[-1]] == n - 1 or depth is not None and k >= depth:
             return sa, rank
 
@@ -200,83 +209,99 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
-def run_keys(hashes: np.ndarray, at: np.ndarray, host: np.ndarray | np.uint64, least: int) -> np.ndarray:
-    """The key of the run of `least` tokens at each place, from the hashes of tokens and of the host."""
-    key = np.zeros(len(at), np.uint64) + host
+def run_keys(hashes: np.ndarray, host: np.ndarray | np.uint64, least: int) -> np.ndarray:
+    """The key of the run of `least` tokens at each place that has so many, from the hashes of tokens and of the host."""
+    key = np.zeros(max(0, len(hashes) - least + 1), np.uint64) + host
     for j in range(least):
-        key = mix(key * M1 + hashes[at + j])
+        key = mix(key * M1 + hashes[j : j + len(key)])
     return key
 
 
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """A 64-bit hash of each word: of its length and the sum of scrambled pairs of byte and place."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    sizes = np.diff(at)
+    letters = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.uint64)
+    places = (np.arange(len(letters)) - np.repeat(at[:-1] - at[0], sizes)).astype(np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(mix((places << np.uint64(8) | letters) * M1 + M2))]
+    return mix(sums[at[1:] - at[0]] - sums[at[:-1] - at[0]] + sizes.astype(np.uint64) * M1)
+
+
 def repeated(pages: list[list[list[int]]], page_ids: list, least: int = LEAST) -> list[list[int]]:
     """Tokens of each block of each page that lie in a run of at least `least` tokens found on two distinct page ids.
 
     Every block ends with a number of its own, so that no run goes beyond a block.
     """
-    return coverage(pages, page_ids, least)[0]
+    found = [b for page in pages for b in page]
+    sizes, owner = np.array([len(b) for b in found], np.int64), np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    ids = np.unique(np.array([str(i) for i in page_ids]), return_inverse=True)[1]
+    counts = iter(coverage(np.array([x for b in found for x in b], np.int64), sizes, owner, ids, least)[0].tolist())
+    return [[next(counts) for _ in page] for page in pages]
 
 
-def coverage(pages: list[list[list[int]]], page_ids: list, least: int, elsewhere: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, bodies: list[int] | None = None) -> tuple[list[list[int]], list[list[int]]]:
-    """What `repeated` counts, and the same of runs that are boilerplate.
+def coverage(tokens: np.ndarray, sizes: np.ndarray, owner: np.ndarray, ids: np.ndarray, least: int, elsewhere: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, bodies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each block what `repeated` counts, and the same of runs that are boilerplate.
 
-    Boilerplate stands on BODIES distinct ids and `bodies` (a number for each page). elsewhere(stream, places) tells of the runs of
-    `least` tokens at places of the stream whether they are found on two ids of the whole host, and whether they are
-    boilerplate there. With bodies, runs go on to the end of a page.
+    tokens are those of all blocks, one after the other, not negative; of each block sizes and owner give the number of its tokens and its page.
+    ids and bodies are numbers of each page, from 0. Boilerplate stands on BODIES distinct ids and bodies.
+    elsewhere(places) tells of the runs of `least` tokens at places of `tokens` whether they are found on two ids of the whole host, and
+    whether they are boilerplate there. With bodies, runs go on to the end of a page.
     """
-    across = bodies is not None
-    stream, owner, first, unique = [], [], [], -1
-    for p, page in enumerate(pages):
-        for block in page:
-            first.append((p, len(stream), len(block)))
-            stream += block if across else [*block, unique]
-            unique -= 1
-        if across:
-            stream.append(unique)
-            unique -= 1
-        owner += [p] * (len(stream) - len(owner))
-    counts: tuple[list[list[int]], list[list[int]]] = ([[] for _ in pages], [[] for _ in pages])
-    if not stream:
-        return counts
-    s = np.array(stream, np.int64)
-    ids = np.unique(np.array([str(i) for i in page_ids]), return_inverse=True)[1][np.array(owner)]
+    starts = np.cumsum(sizes) - sizes
+    if bodies is None:
+        parts, part, page = sizes, np.arange(len(sizes)), owner
+    else:
+        ends, page = np.r_[0, np.cumsum(sizes)], np.arange(len(ids))
+        parts, part = np.diff(ends[np.searchsorted(owner, np.arange(len(ids) + 1))]), owner
+    if not len(tokens):
+        return np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    # each part ends with a number of its own
+    shift = np.repeat(np.arange(len(parts)), parts + 1)
+    last = np.cumsum(parts + 1) - 1
+    s = np.empty(len(tokens) + len(parts), np.int64)
+    s[last] = -1 - np.arange(len(parts))
+    s[np.arange(len(tokens)) + np.repeat(np.arange(len(parts)), parts)] = tokens
+    page = page[shift]
     sa, _ = suffix_array(s, least)
     # neighbours that share `least` tokens are one group; a group on two ids covers its places
-    padded = np.concatenate([s, -np.arange(1, least + 1) - len(s) - 1])
-    same = np.ones(len(sa) - 1, bool)
-    for j in range(least):
-        same &= padded[sa[1:] + j] == padded[sa[:-1] + j]
-    group = np.cumsum(np.r_[True, ~same]) - 1
-    low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, -1)
-    np.minimum.at(low, group, ids[sa])
-    np.maximum.at(high, group, ids[sa])
-    often, boilerplate = low < high, np.zeros(len(low), bool)
+    padded, near = np.concatenate([s, -np.arange(1, least + 1) - len(s) - 1]), np.arange(len(sa) - 1)
+    for j in reversed(range(least)):
+        near = near[padded[sa[near + 1] + j] == padded[sa[near] + j]]
+    new = np.ones(len(sa), bool)
+    new[near + 1] = False
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, len(sa)])
+    often, boilerplate = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    group, pages = _members(start, size, size > 1, page[sa])
+    often[size > 1] = _distinct(group, ids[pages]) > 1
     if bodies is not None:
-        head = sa[start := np.flatnonzero(np.r_[True, ~same])]
-        boilerplate = np.minimum(_distinct(start, group, ids[sa]), _distinct(start, group, np.array(bodies)[np.array(owner)][sa])) >= BODIES
+        many = size >= BODIES
+        group, pages = _members(start, size, many, page[sa])
+        boilerplate[many] = np.minimum(_distinct(group, ids[pages]), _distinct(group, bodies[pages])) >= BODIES
     if elsewhere is not None:
-        whole = np.flatnonzero(np.all([padded[head + j] >= 0 for j in range(least)], axis=0))
-        two, most = elsewhere(s, head[whole])
+        head = sa[start]
+        whole = np.flatnonzero(last[shift[head]] - head >= least)
+        two, most = elsewhere(head[whole] - shift[head[whole]])
         often[whole] |= two
         boilerplate[whole] |= most
-    for chosen, out in zip((often, boilerplate), counts, strict=True):
+    counts, starts = [], starts + part
+    for chosen in (often, boilerplate):
         edge = np.zeros(len(s) + least + 1, np.int64)
-        places = sa[chosen[group]]
-        np.add.at(edge, places, 1)
-        np.add.at(edge, places + least, -1)
+        places = sa[np.repeat(chosen, size)]
+        edge[places] += 1
+        edge[places + least] -= 1
         covered = np.r_[0, np.cumsum(np.cumsum(edge)[: len(s)] > 0)]
-        for p, at, n in first:
-            out[p].append(int(covered[at + n] - covered[at]))
-    return counts
+        counts.append(covered[starts + sizes] - covered[starts])
+    return counts[0], counts[1]
 
 
-def main_text(found: list[tuple[str, str]], covered: tuple[list[int], list[int]], share: float = SHARE) -> str:
-    """The article's blocks, or all of a page without one, less those that boilerplate covers, unless they are the author's; `covered` counts tokens of the blocks of both streams, in order."""
+def main_text(found: list[tuple[str, str]], kept: tuple[Iterator[bool], Iterator[bool]]) -> str:
+    """The article's blocks, or all of a page without one, that are `kept`; that tells of the blocks of both streams, in order."""
     kinds = (OPEN, AUTHOR) if any(k != OUTER for k, _ in found) else (OUTER, "")
-    at, out = dict(zip(kinds, map(iter, covered), strict=True)), []
-    for kind, text in found:
-        if kind in at and (next(at[kind]) < share * len(text.split()) or kind == AUTHOR):
-            out.append(text)
-    return "\n".join(out)
+    at = dict(zip(kinds, kept, strict=True))
+    return "\n".join(text for kind, text in found if kind in at and next(at[kind]))
 
 
 def host(url) -> F.Column:
@@ -288,28 +313,35 @@ class _Streams:
     """The token streams of a shard's pages, two a page, as numbers of words, and their bodies; the author's words have odd numbers, others even ones."""
 
     def __init__(self, table: pa.Table) -> None:
-        numbers: dict[str, int] = {}
         self.found = [[(x[0], x[1:]) for x in zlib.decompress(b).decode().split("\n") if x] for b in table["blocks"].to_pylist()]
         streams = [s for f in self.found for s in streamed(f)]
-        self.tokens = [[[2 * numbers.setdefault(w, len(numbers)) + k % 2 for w in t.split()] for t in s] for k, s in enumerate(streams)]
+        #: Of each block its stream and number of tokens.
+        self.owner = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+        words = pc.split_pattern(pa.array([t for s in streams for t in s], pa.large_string()), " ")
+        self.sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        self.tokens = 2 * coded.indices.to_numpy().astype(np.int64) + np.repeat(self.owner & 1, self.sizes)
         self.bodies = [digest("\n".join(s)) >> 1 for s in streams]
-        words = np.fromiter(map(digest, numbers), np.uint64, len(numbers))
-        self.hashes = np.stack([words, mix(words ^ M1)], axis=1).reshape(-1)
+        hashes = word_hashes(coded.dictionary)
+        self.hashes = np.stack([hashes, mix(hashes ^ M1)], axis=1).reshape(-1)[self.tokens]
         self.salt = np.array(table["salt"].to_pylist()[:1], np.int64).view(np.uint64)
         self.shard, self.alone = table["shard"][0].as_py(), table["parts"][0].as_py() == 1
 
-    def runs(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The hashes of all tokens, the places where a run of `least` tokens begins, and their streams."""
-        sizes = np.array([sum(map(len, s)) for s in self.tokens], np.int64)
-        hashes = self.hashes[np.fromiter((x for s in self.tokens for b in s for x in b), np.int64, sizes.sum())]
-        at = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes) - np.arange(len(hashes)) >= least)
-        return hashes, at, np.repeat(np.arange(len(sizes)), sizes)[at]
+    def runs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places where a run of `least` tokens begins, and their streams."""
+        of = np.repeat(self.owner, self.sizes)
+        at = np.flatnonzero(of[: max(0, len(of) - least + 1)] == of[least - 1 :])
+        return at, of[at]
+
+    def keys(self, least: int) -> np.ndarray:
+        return run_keys(self.hashes, self.salt, least)
 
-    def marks(self, hashes: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    def marks(self, least: int) -> np.ndarray:
         """What stands for the run at each place in other shards: the least hash of its parts of GRAM tokens, scrambled."""
         n = min(GRAM, least)
-        parts = run_keys(hashes, np.arange(max(0, len(hashes) - n + 1)), self.salt, n)
-        return mix(np.minimum.reduce([parts[at + j] for j in range(least - n + 1)])) if len(at) else np.zeros(0, np.uint64)
+        parts = self.keys(n)
+        size = max(0, len(self.hashes) - least + 1)
+        return mix(np.minimum.reduce([parts[j : j + size] for j in range(least - n + 1)]))
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -327,42 +359,64 @@ def _spans(of: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Whether each key occurs more than once."""
+    order, out = np.argsort(keys), np.zeros(len(keys), bool)
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    out[order[same]] = out[order[same + 1]] = True
+    return out
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each key is one of `some`; a table of their last bits tells first which can be."""
+    last = np.uint64((1 << min(26, max(10, 4 + len(some).bit_length()))) - 1)
+    table = np.zeros(int(last) + 1, bool)
+    table[some & last] = True
+    out = table[keys & last]
+    out[out] = np.isin(keys[out], some)
+    return out
+
+
 def _marked(table: pa.Table) -> pa.Table:
     """Of one bucket: for each shard, its marks that another shard has."""
     rows = [np.frombuffer(x, np.uint32) for x in table["marks"].to_pylist()]
     marks, shard = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    _, which, n = np.unique(marks, return_inverse=True, return_counts=True)
-    often = n[which] > 1
+    often = _twice(marks)
     marks, shard = marks[often], shard[often]
     spans = _spans(shard)
     return pa.table({"bucket": pa.array(table["bucket"].to_pylist()[:1] * len(spans), pa.int64()), "shard": pa.array([table["shard"][int(shard[a])].as_py() for a, _ in spans], pa.int64()), "marks": pa.array([marks[a:b].tobytes() for a, b in spans], pa.binary())})
 
 
-def _distinct(start: np.ndarray, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """How many distinct values each group of equal (sorted) keys has."""
-    order = np.lexsort((of, keys))
-    of = of[order]
-    new = np.r_[True, of[1:] != of[:-1]]
-    new[start] = True
-    return np.add.reduceat(new.astype(np.int64), start)
+def _members(start: np.ndarray, size: np.ndarray, chosen: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of chosen groups, which lie one behind the other: their group, numbered from 0, and what `of` has for them."""
+    n = size[chosen]
+    return np.repeat(np.arange(len(n)), n), of[np.repeat(start[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _distinct(group: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many distinct numbers each group has; groups are numbered from 0 and none is empty."""
+    base = int(of.max(initial=0)) + 1
+    pairs = np.sort(group * base + of)
+    return np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]] // base)
 
 
 def _counted(table: pa.Table) -> pa.Table:
     """Of one bucket: for each shard, the keys that it holds and that lie on two distinct ids, and whether on enough ids and bodies to be boilerplate."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
     n, ids, shards, bodies = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in table["pages"].to_pylist()], axis=1)
+    ids, bodies = (np.unique(x, return_inverse=True)[1] for x in (ids, bodies))
     order = np.argsort(keys)
     page = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
     keys = keys[order]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     of = ids[page]
     often = np.repeat(np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start), np.diff(np.r_[start, len(keys)]))
     keys, page = keys[often], page[often]
     if not len(keys):
         return pa.table({"shard": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "boilerplate": pa.array([], pa.binary())})
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    enough = np.minimum(_distinct(start, keys, ids[page]), _distinct(start, keys, bodies[page])) >= BODIES
-    enough, shard = np.repeat(enough, np.diff(np.r_[start, len(keys)])), shards[page]
+    group = np.cumsum(np.r_[True, keys[1:] != keys[:-1]]) - 1
+    enough = (np.minimum(_distinct(group, ids[page]), _distinct(group, bodies[page])) >= BODIES)[group]
+    shard = shards[page]
     order = np.lexsort((keys, shard))
     keys, shard, enough = keys[order], shard[order], enough[order]
     new = np.r_[True, (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1])]
@@ -400,7 +454,8 @@ def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE, per_shar
     def marks(table: pa.Table) -> pa.Table:
         """Of a shard of several of its host: its marks, once each, by bucket."""
         streams = _Streams(table)
-        short = np.zeros(0, np.uint64) if streams.alone else np.unique(_short(streams.marks(*streams.runs(least)[:2], least), buckets))
+        short = np.zeros(0, np.uint64) if streams.alone else np.sort(_short(streams.marks(least)[streams.runs(least)[0]], buckets))
+        short = short[np.r_[True, short[1:] != short[:-1]][: len(short)]]
         bucket = short >> np.uint64(32)
         spans = _spans(bucket)
         return pa.table({"bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), "shard": pa.array([streams.shard] * len(spans), pa.int64()), "marks": pa.array([short[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary())})
@@ -408,11 +463,10 @@ def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE, per_shar
     def keys(table: pa.Table, seen: pa.Table) -> pa.Table:
         """Of a shard of several of its host, by bucket: the keys of runs that it holds twice or whose marks others have, in order of streams, and of each stream its number of keys, id, shard and body."""
         streams = _Streams(table)
-        hashes, at, of = streams.runs(least) if not streams.alone else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        at, of = streams.runs(least) if not streams.alone else [np.zeros(0, np.int64)] * 2
         others = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(b << 32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(seen["bucket"].to_pylist(), seen["marks"].to_pylist(), strict=True))])
-        keys = run_keys(hashes, at, streams.salt, least)
-        _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-        maybe = (n[which] > 1) | np.isin(_short(streams.marks(hashes, at, least), buckets), others)
+        keys = streams.keys(least)[at]
+        maybe = _twice(keys) | _among(_short(streams.marks(least)[at], buckets), others)
         keys, of = keys[maybe], of[maybe]
         bucket = _bucket(keys, buckets)
         order = np.lexsort((of, bucket))
@@ -427,13 +481,18 @@ def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE, per_shar
         streams = _Streams(table)
         two, boilerplate = (np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in often[c].to_pylist())]) for c in ("keys", "boilerplate"))
 
-        def elsewhere(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            keys = run_keys(streams.hashes[np.maximum(s, 0)], at, streams.salt, least)
-            return np.isin(keys, two), np.isin(keys, boilerplate)
-
-        covered, cut = coverage(streams.tokens, [i for i in table["page_id"].to_pylist() for _ in range(2)], least, None if streams.alone else elsewhere, streams.bodies)
-        text = [main_text(f, (cut[2 * p], cut[2 * p + 1]), share) for p, f in enumerate(streams.found)]
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(text, pa.string()), "repeated_tokens": pa.array([sum(covered[2 * p]) + sum(covered[2 * p + 1]) for p in range(len(text))], pa.int64())})
+        def elsewhere(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys = streams.keys(least)[at]
+            return _among(keys, two), _among(keys, boilerplate)
+
+        ids, bodies = (np.unique(np.array(x), return_inverse=True)[1] for x in ([str(i) for i in table["page_id"].to_pylist() for _ in range(2)], streams.bodies))
+        covered, cut = coverage(streams.tokens, streams.sizes, streams.owner, ids, least, None if streams.alone else elsewhere, bodies)
+        author = streams.owner & 1 == 1
+        kept = (cut < share * streams.sizes) | author
+        turns = iter(kept[~author].tolist()), iter(kept[author].tolist())
+        text = [main_text(f, turns) for f in streams.found]
+        some = np.r_[0, np.cumsum(covered)][np.searchsorted(streams.owner, 2 * np.arange(len(text) + 1))]
+        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(text, pa.string()), "repeated_tokens": pa.array(np.diff(some), pa.int64())})
 
     found = source.withColumn("slot", slot).mapInArrow(parsed, "page_id long, url string, salt long, id long, shard long, parts long, blocks binary").groupBy("shard")
     often = pages.sparkSession.createDataFrame([], "shard long, keys binary, boilerplate binary")

@@ -164,3 +164,93 @@ def test_paragraphs_go_through_the_repeats_of_the_host(spark):
         got = {r.page_id: (r.text, r.repeated_tokens) for r in H.extract(pages, per_shard=n).collect()}
         assert all(got[i] == (own(i) + f"\n{passage}" * (i % 7 == 0), 10 * (i % 7 == 0)) for i in range(60))
         assert got[100] == got[101] == (passage, 0)
+
+
+def test_work_of_a_shard(monkeypatch):
+    """A shard's words are hashed together, not one by one, and the suffix array of eight tokens takes two sorts."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randint(0, 9999)}" for _ in range(200)) for _ in range(40)]
+    calls = {"digest": 0, "argsort": 0}
+
+    def counted(name, f):
+        def call(*a, **k):
+            calls[name] += 1
+            return f(*a, **k)
+
+        return call
+
+    monkeypatch.setattr(H, "digest", counted("digest", H.digest))
+    streams = H._Streams(pa.table({"blocks": [zlib.compress(f"-{t}".encode()) for t in texts], "salt": [1] * 40, "shard": [1] * 40, "parts": [2] * 40}))
+    assert calls["digest"] <= 2 * len(texts)
+    monkeypatch.setattr(np, "argsort", counted("argsort", np.argsort))
+    sa, _ = H.suffix_array(streams.tokens, 8)
+    assert calls["argsort"] <= 2
+    runs = [streams.tokens[p : p + 8].tolist() for p in sa]
+    assert runs == sorted(runs)
+
+
+def test_a_shard_without_words(spark):
+    """Shards of a large host whose pages are all empty."""
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", None) for i in range(12)] + [(20, "http://h.example/x", "<p>one</p>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.repeated_tokens) for r in H.extract(pages, per_shard=2).collect()}
+    assert got == {**{i: ("", 0) for i in range(12)}, 20: ("one", 0)}
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    words = sorted({a * n + b for a in ("a", "b", "é", "日本", "\u0000", "x" * 90) for n in range(5) for b in ("", "a", "ab", "ba", "\U0001f600")})
+    got = H.word_hashes(pa.array(words, pa.large_string())).tolist()
+    assert len(set(got)) == len(words)
+    assert H.word_hashes(pa.array(words, pa.large_string())[3:50]).tolist() == got[3:50]
+    assert [int(H.word_hashes(pa.array([w], pa.large_string()))[0]) for w in words] == got
+    assert len(H.word_hashes(pa.array([], pa.large_string()))) == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_boilerplate_against_brute_force(seed):
+    """Runs across the blocks of a page, on enough ids and bodies, here or in other shards."""
+    import numpy as np
+
+    r = random.Random(seed)
+    least, words = r.randint(1, 4), r.choice((2, 3, 9))
+    pages = [[[r.randrange(words) for _ in range(r.randint(0, 5))] for _ in range(r.randint(0, 4))] for _ in range(9)]
+    ids, bodies = ([r.randint(0, 4) for _ in pages] for _ in range(2))
+    streams = [[x for b in page for x in b] for page in pages]
+    tokens = [x for s in streams for x in s]
+    known = {(0,) * least: (True, False), (1,) * least: (True, True)}
+    where, covered = defaultdict(set), []
+    for p, s in enumerate(streams):
+        for k in range(len(s) - least + 1):
+            where[tuple(s[k : k + least])].add((ids[p], bodies[p]))
+    for rule in (lambda run: len({i for i, _ in where[run]}) > 1 or known.get(run, (0, 0))[0], lambda run: min(len({x[j] for x in where[run]}) for j in (0, 1)) >= H.BODIES or known.get(run, (0, 0))[1]):
+        out = []
+        for page, s in zip(pages, streams, strict=True):
+            hit, at = {x for k in range(len(s) - least + 1) if rule(tuple(s[k : k + least])) for x in range(k, k + least)}, 0
+            for b in page:
+                out.append(len(hit & set(range(at, at + len(b)))))
+                at += len(b)
+        covered.append(out)
+
+    def elsewhere(at):
+        found = [known.get(tuple(tokens[a : a + least]), (False, False)) for a in at.tolist()]
+        return np.array([f[0] for f in found], bool), np.array([f[1] for f in found], bool)
+
+    sizes, owner = [len(b) for page in pages for b in page], [p for p, page in enumerate(pages) for _ in page]
+    got = H.coverage(np.array(tokens, np.int64), np.array(sizes, np.int64), np.array(owner, np.int64), np.array(ids), least, elsewhere, np.array(bodies))
+    assert [x.tolist() for x in got] == covered
+
+
+def test_keys_among_others():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for n, m in ((0, 5), (5, 0), (1, 1), (3000, 700)):
+        keys, some = (r.integers(0, 2000, k).astype(np.uint64) << np.uint64(11) for k in (n, m))
+        assert H._among(keys, some).tolist() == np.isin(keys, some).tolist()
+        assert H._twice(keys).tolist() == [int((keys == k).sum()) > 1 for k in keys]
